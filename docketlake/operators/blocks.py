@@ -151,7 +151,7 @@ _DAY = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 def _cut_last(text: Column, trailer: Column) -> Column:
     """Text before the last occurrence of ``trailer``, unchanged when absent."""
-    after = F.length(F.substring_index(text, trailer, -1))
+    after = F.length(F.call_function("substring_index", text, trailer, F.lit(-1)))
     head = F.substring(text, F.lit(1), F.length(text) - after - F.length(trailer))
     return F.when((trailer != "") & text.contains(trailer), head).otherwise(text)
 

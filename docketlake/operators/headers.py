@@ -38,37 +38,28 @@ def header_tokens(header: Column | str) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _words(items: Sequence[str]) -> Column:
-    """A literal array; one constant for the optimizer however long it is."""
-    return F.split(F.lit(",".join(items)), ",")
+def _synonym_table(synonyms: Mapping[str, Sequence[str]]) -> Column:
+    """``ARRAY<STRUCT<field, phrase>>`` as one constant, however long it is."""
+    pairs = [(f, s) for f, items in synonyms.items() for s in items]
+    fields, phrases = (F.split(F.lit(",".join(part)), ",") for part in zip(*pairs))
+    return F.arrays_zip(fields.alias("field"), phrases.alias("phrase"))
+
+
+def _rule_table(rules: Mapping[str, Sequence[tuple[str, int]]]) -> Column:
+    """``ARRAY<STRUCT<field, needed, weight>>`` as one constant."""
+    rows = (
+        f"named_struct('field','{f}','needed',split('{needed}',' '),'weight',{weight})"
+        for f, items in rules.items()
+        for needed, weight in items
+    )
+    return F.expr(f"array({','.join(rows)})")
 
 
-def _field_score(
-    norm: Column, tokens: Column, synonyms: Sequence[str], rules: Sequence[tuple[str, int]]
-) -> Column:
-    exact = F.when(F.array_contains(_words(synonyms), norm), F.lit(_EXACT_SCORE)).otherwise(F.lit(0))
-    scores = [exact]
-    contained = [s for s in synonyms if len(s) >= 6]
-    if contained:
-        scores.append(
-            F.aggregate(
-                _words(contained),
-                F.lit(0),
-                lambda best, s: F.when(
-                    norm.contains(s), F.greatest(best, F.length(s) + 40)
-                ).otherwise(best),
-            )
-        )
-    if rules:
-        total = F.lit(0)
-        for needed, weight in rules:
-            every = None
-            for word in needed.split():
-                hit = F.array_contains(tokens, F.lit(word))
-                every = hit if every is None else every & hit
-            total = total + F.when(every, F.lit(weight)).otherwise(F.lit(0))
-        scores.append(total)
-    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+def _field_table(fields: Sequence[str]) -> Column:
+    # Equal scores of one column are tried in descending field-name order.
+    names = sorted(fields, reverse=True)
+    rows = (f"named_struct('rank',{i},'field','{f}')" for i, f in enumerate(names))
+    return F.expr(f"array({','.join(rows)})")
 
 
 def _stems(
@@ -81,28 +72,35 @@ def _stems(
     return "|".join(sorted(short))
 
 
-def _field_rank(field: str, fields: Sequence[str]) -> int:
-    # Equal scores of one column are tried in descending field-name order.
-    return sorted(fields, reverse=True).index(field)
-
-
 def header_scores(
     header: Column | str,
     synonyms: Mapping[str, Sequence[str]] = vocab.SYNONYMS,
     rules: Mapping[str, Sequence[tuple[str, int]]] = vocab.TOKEN_RULES,
 ) -> Column:
     """``ARRAY<STRUCT<score, rank, field>>`` of the fields a header may name."""
-    fields = sorted(set(synonyms) | set(rules))
+    fields = _field_table(sorted(set(synonyms) | set(rules)))
+
+    def phrase_score(norm: Column, h: Column) -> Column:
+        return F.when(norm == h["phrase"], F.lit(_EXACT_SCORE)).otherwise(F.length(h["phrase"]) + 40)
 
     def scored(norm: Column, tokens: Column) -> Column:
-        return F.array(*[
-            F.struct(
-                _field_score(norm, tokens, synonyms.get(f, ()), rules.get(f, ())).alias("score"),
-                F.lit(_field_rank(f, fields)).alias("rank"),
-                F.lit(f).alias("field"),
+        phrases = F.filter(
+            _synonym_table(synonyms),
+            lambda h: norm.contains(h["phrase"]) & ((F.length(h["phrase"]) >= 6) | (norm == h["phrase"])),
+        )
+        met = F.filter(_rule_table(rules), lambda r: F.forall(r["needed"], lambda w: F.array_contains(tokens, w)))
+
+        def of_field(f: Column, phrases: Column, met: Column) -> Column:
+            named = F.aggregate(
+                F.filter(phrases, lambda h: h["field"] == f["field"]), F.lit(0),
+                lambda best, h: F.greatest(best, phrase_score(norm, h)),
+            )
+            hinted = F.aggregate(
+                F.filter(met, lambda r: r["field"] == f["field"]), F.lit(0), lambda n, r: n + r["weight"]
             )
-            for f in fields
-        ])
+            return F.struct(F.greatest(named, hinted).alias("score"), f["rank"].alias("rank"), f["field"].alias("field"))
+
+        return let(phrases, lambda ps: let(met, lambda ms: F.transform(fields, lambda f: of_field(f, ps, ms))))
 
     header = _col(header)
     none = F.array().cast("array<struct<score:int,rank:int,field:string>>")

@@ -8,11 +8,13 @@ table at all.  Everything after the grid is column expressions.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +124,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame_id, rows in enumerate(reader.tables):
                 for row_ix, (cells, link) in enumerate(_rectangle(rows)):
                     out.append((doc_id, frame_id, row_ix, cells, link))
-        yield pd.DataFrame(out, columns=vocab.GRID_SCHEMA.names)
+        yield pd.DataFrame(out, columns=["doc_id", "frame_id", "row_ix", "cells", "link"])
+
+
+# Ship the scanner itself to the workers, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def html_tables(pages: DataFrame, doc_id: Column | str = "doc_id", html: Column | str = "html") -> DataFrame:
