@@ -1,9 +1,14 @@
 """Raw grids -> framed rows: header detection, row shaping, frame choice.
 
-A grid has one row per physical table row (``doc_id, frame_id, row_ix, cells,
-link``).  Frame-level facts (header, width, row count, score) are small
-aggregates with map-side combine; the rows themselves are never gathered per
-frame, so one huge frame is just many tasks.
+Two forms of the same work:
+
+* Landed payloads (a page, a file in a row) keep each frame in one row
+  (``doc_id, frame_id, grid, links``).  :func:`shape_frames` finds the header and
+  shapes the rows where they lie, without any shuffle; a frame is never larger
+  than the payload it came from.
+* Splittable scans of large files give a grid with one row per table row.  There
+  the frame-level facts are small aggregates with map-side combine, and the rows
+  are never gathered per frame, so one huge frame is just many tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake import vocab
+from docketlake.functions.staging import stage
 from docketlake.functions.text import clean_text, let
 from docketlake.operators.headers import map_headers, mapped_fields, name_headers, normalize_header
 
@@ -98,7 +104,7 @@ def detect_headers(
             name_headers(padded).alias("headers"),
             "width",
         )
-        .withColumn("mapping", map_headers("headers", overrides))
+        .transform(stage, {"mapping": map_headers("headers", overrides)})
         .withColumn("fields", mapped_fields("mapping"))
     )
 
@@ -112,13 +118,83 @@ def frame_rows(grid: DataFrame, frames: DataFrame) -> DataFrame:
     padded = F.concat(
         "cells", F.array_repeat(F.lit(None).cast("string"), F.col("width") - F.size("cells"))
     )
-    return (
-        grid.join(heads, FRAME_KEY)
-        .where(F.col("row_ix") > F.col("header_ix"))
-        .withColumn("cells", F.transform(padded, lambda c: clean_text(c, unicode="done")))
-        .where(F.exists("cells", lambda c: c.isNotNull()))
-        .drop("header_ix", "width")
+    body = grid.join(heads, FRAME_KEY).where(F.col("row_ix") > F.col("header_ix"))
+    cleaned = F.transform(padded, lambda c: clean_text(c, unicode="done"))
+    keep = [c for c in body.columns if c not in ("cells", "header_ix", "width")]
+    return stage(body, {"cells": cleaned}, keep).where(F.exists("cells", lambda c: c.isNotNull()))
+
+
+def shape_frames(
+    frames: DataFrame, kind: str = "web", overrides: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Row-local header detection and row shaping of whole frames.
+
+    Adds ``header_ix, headers, mapping, fields, rows, n_rows, score`` and drops the
+    grid.  Frames without a header (files), without data rows or of a single row
+    (web) are left out; file frames lose their all-empty columns.
+    """
+    web = kind == "web"
+    scan = vocab.WEB_HEADER_SCAN if web else vocab.FILE_HEADER_SCAN
+    score = web_header_score if web else file_header_score
+    floor = 0.0 if web else 0.5
+    ranked = F.transform(
+        F.slice("grid", 1, scan),
+        lambda cells, i: F.struct(
+            let(score(cells), lambda v: F.when(v > floor, v).otherwise(F.lit(-100.0))).alias("score"),
+            (-i).alias("neg_ix"),
+        ),
     )
+    out = stage(frames, {
+        "width": F.array_max(F.transform("grid", lambda r: F.size(r))),
+        "head": F.array_max(ranked),
+    })
+    out = out.where(F.size("grid") > 1) if web else out.where(F.col("head.score") > floor)
+    out = out.withColumn("header_ix", -F.col("head.neg_ix"))
+
+    def padded(cells: Column, fill: Column) -> Column:
+        return F.concat(cells, F.array_repeat(fill, F.col("width") - F.size(cells)))
+
+    body = F.transform(
+        F.slice("grid", F.col("header_ix") + 2, F.size("grid")),
+        lambda cells, i: F.struct(
+            (i + F.col("header_ix") + 1).alias("row_ix"),
+            F.transform(padded(cells, F.lit(None).cast("string")), lambda c: clean_text(c, unicode="done")).alias("cells"),
+            F.get("links", i + F.col("header_ix") + 1).alias("link"),
+        ),
+    )
+    head = padded(F.get("grid", F.col("header_ix")), F.lit(""))
+    out = stage(out, {
+        "headers": name_headers(head),
+        "rows": F.filter(body, lambda r: F.exists(r["cells"], lambda c: c.isNotNull())),
+    }).where(F.size("rows") > 0)
+    if not web:
+        # Score and choose on all headers, then leave out the empty columns.
+        used = F.filter(
+            F.sequence(F.lit(0), F.col("width") - 1),
+            lambda i: F.exists("rows", lambda r: F.get(r["cells"], i).isNotNull()),
+        )
+        all_fields = mapped_fields(map_headers("headers"))
+        out = stage(out, {"all_fields": all_fields, "used": used}).withColumns({
+            "headers": F.transform("used", lambda i: F.get("headers", i)),
+            "rows": F.transform("rows", lambda r: F.struct(
+                r["row_ix"].alias("row_ix"),
+                F.transform(F.col("used"), lambda i: F.get(r["cells"], i)).alias("cells"),
+                r["link"].alias("link"),
+            )),
+        })
+    out = stage(out, {"mapping": map_headers("headers", overrides)})
+    out = stage(out, {"fields": mapped_fields("mapping"), "n_rows": F.size("rows")})
+    total = (
+        web_frame_score(F.col("fields"), F.col("n_rows")) if web
+        else F.size("all_fields") * 100.0 + F.col("n_rows")
+    )
+    return out.withColumn("score", total).drop("grid", "links", "width", "head", "used")
+
+
+def shaped_rows(shaped: DataFrame) -> DataFrame:
+    """One row per shaped row, with the frame's headers and mapping."""
+    keep = [c for c in shaped.columns if c != "rows"]
+    return shaped.select(*keep, F.explode("rows").alias("r")).select(*keep, "r.*")
 
 
 def row_map(headers: Column | str = "headers", cells: Column | str = "cells") -> Column:
@@ -150,8 +226,8 @@ def drop_empty_columns(rows: DataFrame, overrides: Mapping[str, str] | None = No
     return (
         rows.join(used, FRAME_KEY)
         .withColumns({"headers": keep("headers"), "cells": keep("cells")})
-        .drop("used")
-        .withColumn("mapping", map_headers("headers", overrides))
+        .drop("used", "mapping")
+        .transform(stage, {"mapping": map_headers("headers", overrides)})
     )
 
 

@@ -7,7 +7,7 @@ The funnel is a chain of projections and one filter; it never shuffles.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ from docketlake.functions.category import classify_type
 from docketlake.functions.dates import parse_date, parse_date_number
 from docketlake.functions.numbers import count_from_number, parse_count
 from docketlake.functions.places import address_zip, embedded_state, is_full_address, state_name, strip_state
-from docketlake.functions.text import _col, clean_text, clean_zip, drop_bare_code, let
+from docketlake.functions.staging import stage
+from docketlake.functions.text import _col, clean_zip, drop_bare_code, let
 from docketlake.operators.blocks import resolve_link
 from docketlake.operators.headers import _stems, map_headers
 
@@ -66,6 +67,16 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def conform(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """All canonical columns in their types, missing ones NULL."""
+    have = set(df.columns)
+    fields = [
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in vocab.RECORD_SCHEMA
+    ]
+    return df.select(*fields, *extra)
+
+
 def build_records(
     rows: DataFrame,
     as_of: dt.date | str,
@@ -75,6 +86,7 @@ def build_records(
     host: Column | str | None = None,
     dayfirst: bool = False,
     defaults: Mapping[str, object] | None = None,
+    keep: Sequence[str] = ("doc_id", "frame_id", "row_ix"),
 ) -> DataFrame:
     """Canonical records with a ``verdict``: ``ok``, ``junk`` or ``unusable``.
 
@@ -82,7 +94,7 @@ def build_records(
     form, so a bad row can only lose a field or be rejected, never fail the job.
     """
     nums = "nums" in rows.columns
-    keep = [c for c in ("doc_id", "frame_id", "row_ix") if c in rows.columns]
+    keep = [c for c in keep if c in rows.columns]
 
     def by_field(source: str) -> Column:
         return F.map_from_entries(
@@ -90,15 +102,18 @@ def build_records(
         )
 
     has_employer = F.exists("mapping", lambda m: m["field"] == "employer")
-    picked = rows.where(has_employer).select(
-        *keep,
-        _col(state).alias("state"),
-        _col(source_name).alias("source_name"),
-        resolve_link(source_url, "link", host).alias("source_url"),
-        F.map_from_arrays("headers", "cells").alias("raw"),
-        by_field("cells").alias("v"),
-        *([by_field("nums").alias("num")] if nums else []),
-        is_repeated_header("cells").alias("_repeat"),
+    picked = stage(
+        rows.where(has_employer),
+        {
+            "_state": _col(state),
+            "_source": _col(source_name),
+            "_url": resolve_link(source_url, "link", host),
+            "raw": F.map_from_arrays("headers", "cells"),
+            "v": by_field("cells"),
+            **({"num": by_field("nums")} if nums else {}),
+            "_repeat": is_repeated_header("cells"),
+        },
+        keep,
     )
 
     def text(name: str) -> Column:
@@ -117,15 +132,20 @@ def build_records(
     if nums:
         count = F.when(number("employees").isNotNull(), count_from_number(number("employees"))).otherwise(count)
 
-    typed = picked.select(
-        *keep, "state", "source_name", "source_url", "raw", "_repeat",
-        *[text(n).alias(n) for n in ("employer", "county", "address", "region", "union_name", "contact", "notes")],
-        text("city").alias("_city"),
-        drop_bare_code(text("industry")).alias("industry"),
-        clean_zip(F.element_at("v", "zip_code"), unicode="done").alias("zip_code"),
-        *[date(n).alias(n) for n in vocab.DATE_FIELDS],
-        count.alias("employees"),
-        classify_type(F.element_at("v", "notice_type"), unicode="done").alias("notice_type"),
+    plain = ("employer", "county", "address", "region", "union_name", "contact", "notes")
+    typed = stage(
+        picked,
+        {
+            **{n: text(n) for n in plain},
+            "_city": text("city"),
+            "industry": drop_bare_code(text("industry")),
+            "zip_code": clean_zip(F.element_at("v", "zip_code"), unicode="done"),
+            **{n: date(n) for n in vocab.DATE_FIELDS},
+            "employees": count,
+            "notice_type": classify_type(F.element_at("v", "notice_type"), unicode="done"),
+        },
+        [*keep, F.col("_state").alias("state"), F.col("_source").alias("source_name"),
+         F.col("_url").alias("source_url"), "raw", "_repeat"],
     )
     long_city = F.substring("_city", 1, 300)
     whole = is_full_address(long_city)

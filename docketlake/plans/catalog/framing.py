@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from docketlake import vocab
 from docketlake.operators import blocks, frames, funnel, headers
 from docketlake.plans import ingest
-from docketlake.plans.catalog.base import AS_OF, CODES, choose, filings, query, table, with_filings
+from docketlake.plans.catalog.base import AS_OF, CODES, ORACLES, choose, filings, query, table, with_filings
 from docketlake.sources.delimited import csv_grid
-from docketlake.sources.html import html_tables
+from docketlake.sources.html import html_frames, html_tables
 
 PAGE_ROWS = 20
 HEADER_SETS = (
@@ -135,6 +135,16 @@ def _web(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     return frames.frame_rows(grid, frames.detect_headers(grid, "web"))
 
 
+@query("shaped_frames", _doc_sql(f"""
+SELECT cast(doc AS VARCHAR) AS doc_id, 0 AS frame_id, 0 AS header_ix, 'Home|About us' AS headers, '' AS fields, 1 AS n_rows, 0.0 AS score FROM sizes
+UNION ALL SELECT cast(doc AS VARCHAR), 1, 1, heads, '{_FIELDS}', n + 2, round(100 + 5 * log10(n + 3), 6) FROM sizes"""))
+def shaped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shaped = frames.shape_frames(html_frames(pages(spark, sf_dir)), "web")
+    return _joined(shaped, "headers", "fields").select(
+        "doc_id", "frame_id", "header_ix", "headers", "fields", "n_rows", F.round("score", 6).alias("score")
+    )
+
+
 @query("row_materialise", _doc_sql("""
 SELECT cast(doc AS VARCHAR) AS doc_id, frame_id, row_ix, headers, cells FROM (
   SELECT doc, 0 AS frame_id, 1 AS row_ix, 'Home|About us' AS headers, 'Home|Help' AS cells FROM sizes
@@ -277,6 +287,12 @@ def records_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ingest.records_from_csv(files(spark, sf_dir), AS_OF), "doc_id")
 
 
+@query("records_from_grid", ORACLES["records_from_csv"])
+def records_from_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = files(spark, sf_dir)
+    return _shown(ingest.records_from_large_files(csv_grid(docs), docs, AS_OF), "doc_id")
+
+
 @query("empty_columns", _FILE_SQL + """
 SELECT DISTINCT cast(doc AS VARCHAR) AS doc_id, 'Company Name|Town|Notice Date|Head Count' AS headers FROM c""")
 def empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketlake import vocab
 
@@ -114,29 +115,53 @@ def _rectangle(rows: list[dict]) -> Iterator[tuple[list[str], str | None]]:
             yield line, row["link"]
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, html in zip(batch["doc_id"], batch["html"]):
-            reader = _Tables()
-            reader.feed(html)
-            reader.close()
-            for frame_id, rows in enumerate(reader.tables):
-                for row_ix, (cells, link) in enumerate(_rectangle(rows)):
-                    out.append((doc_id, frame_id, row_ix, cells, link))
-        yield pd.DataFrame(out, columns=["doc_id", "frame_id", "row_ix", "cells", "link"])
+def _scanner(keep: list[str]):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, html, *rest in batch[["doc_id", "html", *keep]].itertuples(index=False):
+                reader = _Tables()
+                reader.feed(html)
+                reader.close()
+                for frame_id, rows in enumerate(reader.tables):
+                    filled = list(_rectangle(rows))
+                    out.append((doc_id, frame_id, [c for c, _ in filled], [x for _, x in filled], *rest))
+            yield pd.DataFrame(out, columns=["doc_id", "frame_id", "grid", "links", *keep])
+
+    return scan
 
 
 # Ship the scanner itself to the workers, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def html_tables(pages: DataFrame, doc_id: Column | str = "doc_id", html: Column | str = "html") -> DataFrame:
-    """Every table of every page as grid rows, spans expanded."""
+def html_frames(
+    pages: DataFrame,
+    doc_id: Column | str = "doc_id",
+    html: Column | str = "html",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One row per table: ``doc_id, frame_id, grid, links`` and the ``keep`` columns.
+
+    ``grid`` is the rectangle of cell texts with spans expanded, ``links`` the first
+    hyperlink of each row.  A page is parsed once and its tables stay together.
+    """
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     html = F.col(html) if isinstance(html, str) else html
-    return (
-        pages.select(doc_id.cast("string").alias("doc_id"), html.alias("html"))
-        .where(F.col("html").rlike(r"(?i)<table"))
-        .mapInPandas(_scan, vocab.GRID_SCHEMA)
+    rows = pages.select(doc_id.cast("string").alias("doc_id"), html.alias("html"), *keep).where(
+        F.col("html").rlike(r"(?i)<table")
     )
+    extra = [rows.schema[name] for name in keep]
+    return rows.mapInPandas(_scanner(list(keep)), T.StructType([*vocab.FRAME_SCHEMA.fields, *extra]))
+
+
+def html_tables(pages: DataFrame, doc_id: Column | str = "doc_id", html: Column | str = "html") -> DataFrame:
+    """Every table of every page as grid rows."""
+    return explode_grid(html_frames(pages, doc_id, html))
+
+
+def explode_grid(frames: DataFrame) -> DataFrame:
+    """Frames -> one row per table row."""
+    return frames.select(
+        "doc_id", "frame_id", F.posexplode(F.arrays_zip("grid", "links")).alias("row_ix", "row")
+    ).select("doc_id", "frame_id", "row_ix", F.col("row.grid").alias("cells"), F.col("row.links").alias("link"))

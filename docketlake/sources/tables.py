@@ -30,10 +30,11 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
-def read_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+def read_snapshot(spark: SparkSession, path: str, before: int | None = None, schema=None) -> DataFrame | None:
     """The newest committed snapshot, or the newest below ``before``."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     versions = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={versions[-1]:010d}") if versions else None
+    return reader.parquet(f"{path}/version={versions[-1]:010d}") if versions else None
 
 
 def write_snapshot(df: DataFrame, path: str, version: int, partition: str | None = "state",

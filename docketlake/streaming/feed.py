@@ -42,7 +42,7 @@ def merge_batch(
     """
     spark = batch.sparkSession
     incoming = dedupe_batch(with_identity(batch), order)
-    target = read_snapshot(spark, path, before=batch_id + 1)
+    target = read_snapshot(spark, path, batch_id + 1, vocab.NOTICE_SCHEMA)
     if target is None:
         target = spark.createDataFrame([], vocab.NOTICE_SCHEMA)
     columns = vocab.NOTICE_SCHEMA.names
