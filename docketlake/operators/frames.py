@@ -217,7 +217,7 @@ def drop_empty_columns(rows: DataFrame, overrides: Mapping[str, str] | None = No
             ).alias("ix"),
         )
         .groupBy(*FRAME_KEY)
-        .agg(F.array_sort(F.collect_set("ix")).alias("used"))
+        .agg(F.sort_array(F.collect_set("ix")).alias("used"))
     )
 
     def keep(name: str) -> Column:
@@ -286,7 +286,7 @@ def merge_web_frames(stats: DataFrame) -> DataFrame:
 def merge_file_frames(stats: DataFrame) -> DataFrame:
     """Frames sharing the best frame's header signature; needs an employer column."""
     usable = stats.where(F.array_contains("fields", "employer")).withColumn(
-        "signature", F.array_sort(F.transform("headers", normalize_header))
+        "signature", F.sort_array(F.transform("headers", normalize_header))
     )
     best = top_frames(usable, 1, 0.0).select("doc_id", "signature")
     return usable.join(best, ["doc_id", "signature"], "left_semi")
@@ -329,7 +329,7 @@ def row_signature(cells: Column | str = "cells") -> Column:
 
 def map_signature(row: Column | str) -> Column:
     """Row signature of a ``header -> value`` map, values in key order."""
-    entries = F.array_sort(F.map_entries(row))
+    entries = F.sort_array(F.map_entries(row))
     return row_signature(F.transform(entries, lambda e: e["value"]))
 
 

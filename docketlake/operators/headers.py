@@ -7,7 +7,7 @@ can be tested for being a header where it lies.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +38,35 @@ def header_tokens(header: Column | str) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _synonym_table(synonyms: Mapping[str, Sequence[str]]) -> Column:
-    """``ARRAY<STRUCT<field, phrase>>`` as one constant, however long it is."""
+def _shared_prefixes(words: Iterable[str]) -> str:
+    """Regex of a word list with common beginnings written once; prefers long words."""
+    tails: dict[str, list[str]] = {}
+    words = set(words)
+    for word in sorted(words - {""}):
+        tails.setdefault(word[0], []).append(word[1:])
+    options = "|".join(first + _shared_prefixes(rest) for first, rest in tails.items())
+    if "" in words:
+        return f"(?:{options})?" if options else ""
+    return f"(?:{options})" if len(tails) > 1 else options
+
+
+def _longest_first(phrases: Iterable[str]) -> str:
+    """Regex that finds, at every position, the longest phrase starting there."""
+    return f"(?=({_shared_prefixes(phrases)}))"
+
+
+def _prefix_table(synonyms: Mapping[str, Sequence[str]]) -> Column:
+    """``MAP<phrase, ARRAY<STRUCT<field, phrase>>>``: all phrases a phrase begins with.
+
+    Whatever else starts where the longest phrase was found is a beginning of it.
+    """
     pairs = [(f, s) for f, items in synonyms.items() for s in items]
-    fields, phrases = (F.split(F.lit(",".join(part)), ",") for part in zip(*pairs))
-    return F.arrays_zip(fields.alias("field"), phrases.alias("phrase"))
+
+    def heads(phrase: str) -> str:
+        rows = (f"named_struct('field','{f}','phrase','{s}')" for f, s in pairs if phrase.startswith(s))
+        return f"array({','.join(rows)})"
+
+    return F.expr("map(" + ",".join(f"'{p}',{heads(p)}" for p in dict.fromkeys(s for _, s in pairs)) + ")")
 
 
 def _rule_table(rules: Mapping[str, Sequence[tuple[str, int]]]) -> Column:
@@ -69,7 +93,7 @@ def _stems(
     texts = {s for group in synonyms.values() for s in group}
     texts |= {word for group in rules.values() for needed, _ in group for word in needed.split()}
     short = [t for t in texts if not any(o != t and o in t for o in texts)]
-    return "|".join(sorted(short))
+    return _shared_prefixes(short)
 
 
 def header_scores(
@@ -84,9 +108,10 @@ def header_scores(
         return F.when(norm == h["phrase"], F.lit(_EXACT_SCORE)).otherwise(F.length(h["phrase"]) + 40)
 
     def scored(norm: Column, tokens: Column) -> Column:
+        found = F.regexp_extract_all(norm, F.lit(_longest_first(s for v in synonyms.values() for s in v)), 1)
         phrases = F.filter(
-            _synonym_table(synonyms),
-            lambda h: norm.contains(h["phrase"]) & ((F.length(h["phrase"]) >= 6) | (norm == h["phrase"])),
+            F.flatten(F.transform(F.array_distinct(found), lambda p: F.element_at(_prefix_table(synonyms), p))),
+            lambda h: (F.length(h["phrase"]) >= 6) | (norm == h["phrase"]),
         )
         met = F.filter(_rule_table(rules), lambda r: F.forall(r["needed"], lambda w: F.array_contains(tokens, w)))
 
@@ -152,7 +177,7 @@ def map_headers(
             out = (out or F).when(norm == key, row)
         return out.otherwise(scored) if out is not None else F.concat(forced, scored)
 
-    ordered = F.array_sort(F.flatten(F.transform(_col(headers), candidates)))
+    ordered = F.sort_array(F.flatten(F.transform(_col(headers), candidates)))
     empty = F.array().cast("array<struct<col:int,field:string,score:int>>")
     return F.aggregate(
         ordered,
@@ -172,7 +197,7 @@ def map_headers(
 
 def mapped_fields(mapping: Column | str) -> Column:
     """Sorted field names of a mapping; its signature."""
-    return F.array_sort(F.transform(_col(mapping), lambda m: m["field"]))
+    return F.sort_array(F.transform(_col(mapping), lambda m: m["field"]))
 
 
 def name_headers(cells: Column | str) -> Column:

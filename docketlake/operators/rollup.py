@@ -83,7 +83,7 @@ def health_lists(status: DataFrame) -> DataFrame:
     """
     return status.groupBy("status").agg(
         F.count("*").alias("n_sources"),
-        F.array_join(F.array_sort(F.collect_list("state")), " ").alias("codes"),
+        F.array_join(F.sort_array(F.collect_list("state")), " ").alias("codes"),
         F.sum("rows_parsed").alias("rows_parsed"),
         F.sum("workers").alias("workers"),
     )

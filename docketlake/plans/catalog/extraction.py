@@ -84,7 +84,7 @@ def api_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.floor(F.col("ix") / API_ROWS)
     packed = filings(spark, sf_dir).select(doc.alias("doc"), "ix", row.alias("row")).groupBy("doc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ix", F.to_json("row").alias("json")))), lambda r: r["json"]).alias("rows")
+        F.transform(F.sort_array(F.collect_list(F.struct("ix", F.to_json("row").alias("json")))), lambda r: r["json"]).alias("rows")
     )
     text = F.concat(F.lit('{"n": 1, "body": [{"ignored": []}, {"info": {"a": 1}, "none": [], "results": ['),
                     F.array_join("rows", ", "), F.lit("]}]}"))
@@ -184,7 +184,7 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(key / LINK_ROWS).alias("doc"), "o_orderkey", F.concat(F.lit("<li>"), item, beside, F.lit("</li>")).alias("li")
     )
     return rows.groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "li"))), lambda r: r["li"]), "\n").alias("items")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "li"))), lambda r: r["li"]), "\n").alias("items")
     ).select(
         F.col("doc").alias("doc_id"), F.concat(F.lit("https://l.example.org/a/b/"), F.col("doc").cast("string")).alias("url"),
         F.concat(F.lit("<ul>"), "items", F.lit('</ul><script>var u="https://cdn.example.org/raw/'), F.col("doc").cast("string"),

@@ -65,7 +65,7 @@ def pages(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     by = ["doc", "status"] if split else ["doc"]
     bodies = rows.groupBy(*by).agg(
         F.sum("n").alias("total"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "tr"))), lambda r: r["tr"]), "\n").alias("body"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ix", "tr"))), lambda r: r["tr"]), "\n").alias("body"),
     )
     nav = '<table><tr><td rowspan="2">Home</td><td>About<br>us</td></tr><tr><td>Help</td></tr></table>'
     title = '<tr><td colspan="5">Filings &amp; notices</td></tr>'
@@ -81,7 +81,7 @@ def pages(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     if split:
         tables = tables.groupBy("doc").agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("status", "html"))), lambda t: t["html"]), ""
+                F.transform(F.sort_array(F.collect_list(F.struct("status", "html"))), lambda t: t["html"]), ""
             ).alias("html")
         )
     return tables.select(
@@ -240,7 +240,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = cust.select(doc.alias("doc"), "c_custkey", F.replace(line, F.lit("\x01"), sep).alias("line"))
     body = rows.groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "\r\n").alias("body")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "\r\n").alias("body")
     )
     sep = choose(F.col("doc") % 4, _SEPS)
     head = F.replace(F.lit("Company Name\x01Town\x01County\x01Notice Date\x01Head Count"), F.lit("\x01"), sep)
