@@ -223,10 +223,11 @@ def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.filter_links(found, "LAYOFF", 4).select("doc_id", "link")
 
 
-@query("year_links", _LINKS_SQL + """SELECT doc_id, link, max(y) AS year FROM (
-  SELECT doc_id, y, 'https://l.example.org/warn/' || y || '/list_' || k AS link FROM l WHERE k % 5 = 2
-  UNION ALL SELECT doc_id, y, 'https://l.example.org/a/get?id=' || k || '&y=' || y FROM l WHERE k % 5 = 1)
-WHERE y BETWEEN 2018 AND 2027 GROUP BY ALL""")
+@query("year_links", _LINKS_SQL + """, hay AS (
+  SELECT doc_id, 'https://l.example.org/warn/' || y || '/list_' || k AS link, 'Notices ' || y || ' /warn/' || y || '/list_' || k AS text FROM l WHERE k % 5 = 2
+  UNION ALL SELECT doc_id, 'https://l.example.org/a/get?id=' || k || '&y=' || y, 'get?id=' || k || '&y=' || y FROM l WHERE k % 5 = 1)
+SELECT doc_id, link, max(year) AS year FROM (SELECT doc_id, link, unnest(list_filter(list_transform(
+  regexp_extract_all(text, '20\\d{2}'), lambda x: cast(x AS INTEGER)), lambda v: v BETWEEN 2018 AND 2027)) AS year FROM hay) GROUP BY ALL""")
 def year_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.year_links(_found(spark, sf_dir), AS_OF, 2018)
 
@@ -239,7 +240,8 @@ def embedded_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("link_filings", f"""
 WITH f AS (SELECT o_orderkey AS k, o_orderkey // {LINK_ROWS} AS doc_id, year(o_orderdate) + 20 AS y,
-  CASE WHEN o_orderkey % 5 = 3 THEN 'Customer ' || o_custkey || ' Works' ELSE 'Customer ' || o_custkey END AS employer,
+  'Customer' || CASE WHEN o_custkey BETWEEN 1000 AND 9999 THEN '' ELSE ' ' || o_custkey END ||
+    CASE WHEN o_orderkey % 5 = 3 THEN ' Works' ELSE '' END AS employer,
   CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 2 = 0 THEN cast(o_orderdate AS DATE)
     ELSE make_date(year(o_orderdate) + 20, month(o_orderdate), 1) END AS day FROM orders WHERE o_orderkey % 5 IN (3, 4))
 SELECT doc_id, employer, cast(day AS VARCHAR) AS notice_date FROM (
