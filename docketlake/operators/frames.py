@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docketlake import vocab
 from docketlake.functions.staging import stage
-from docketlake.functions.text import clean_text, let
+from docketlake.functions.text import _col, clean_text, let
 from docketlake.operators.headers import map_headers, mapped_fields, name_headers, normalize_header
 
 FRAME_KEY = ["doc_id", "frame_id"]
@@ -198,8 +198,15 @@ def shaped_rows(shaped: DataFrame) -> DataFrame:
 
 
 def row_map(headers: Column | str = "headers", cells: Column | str = "cells") -> Column:
-    """A row as ``header -> value``."""
-    return F.map_from_arrays(headers, cells)
+    """A row as ``header -> value``; a repeated header keeps its last value."""
+    headers, cells = _col(headers), _col(cells)
+    names = F.array_distinct(headers)
+    last = F.transform(
+        names,
+        lambda n: F.element_at(F.filter(cells, lambda _, i: F.get(headers, i) == n), -1),
+    )
+    unique = F.size(names) == F.size(headers)
+    return F.when(unique, F.map_from_arrays(headers, cells)).otherwise(F.map_from_arrays(names, last))
 
 
 def drop_empty_columns(rows: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:

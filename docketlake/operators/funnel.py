@@ -20,6 +20,7 @@ from docketlake.functions.places import address_zip, embedded_state, is_full_add
 from docketlake.functions.staging import stage
 from docketlake.functions.text import _col, clean_zip, drop_bare_code, let
 from docketlake.operators.blocks import resolve_link
+from docketlake.operators.frames import row_map
 from docketlake.operators.headers import _stems, map_headers
 
 
@@ -108,7 +109,7 @@ def build_records(
             "_state": _col(state),
             "_source": _col(source_name),
             "_url": resolve_link(source_url, "link", host),
-            "raw": F.map_from_arrays("headers", "cells"),
+            "raw": row_map("headers", "cells"),
             "v": by_field("cells"),
             **({"num": by_field("nums")} if nums else {}),
             "_repeat": is_repeated_header("cells"),

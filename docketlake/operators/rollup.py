@@ -33,9 +33,11 @@ def per_group(df: DataFrame, by: str = "state", workers: str = "employees") -> D
 def share_of_max(rollup: DataFrame, count: str = "n", out: str = "share") -> DataFrame:
     """Count as a percentage of the largest count, one decimal.
 
-    The maximum is a scalar subquery over the small rollup, not a one-task window.
+    The maximum is a scalar subquery, not a one-task window.  It takes whole rollup
+    rows, so both uses share one aggregate and the input is read once.
     """
-    top = rollup.agg(F.coalesce(F.max(count), F.lit(1))).scalar()
+    row = F.struct(count, *[c for c in rollup.columns if c != count])
+    top = rollup.agg(F.coalesce(F.max(row)[count], F.lit(1))).scalar()
     return rollup.withColumn(out, F.round(F.col(count) * 100.0 / top, 1))
 
 
@@ -76,19 +78,20 @@ def run_rollup(results: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame
     )
 
 
-def health_lists(status: DataFrame) -> DataFrame:
-    """Per status: how many sources and their sorted codes.
-
-    Collects one short code per source, not per record.
-    """
+def health_totals(status: DataFrame) -> DataFrame:
+    """Per status: sources, rows and workers."""
     return status.groupBy("status").agg(
         F.count("*").alias("n_sources"),
-        F.array_join(F.sort_array(F.collect_list("state")), " ").alias("codes"),
         F.sum("rows_parsed").alias("rows_parsed"),
         F.sum("workers").alias("workers"),
     )
 
 
+def health_lists(status: DataFrame) -> DataFrame:
+    """The healthy, broken and no-data lists: one row per source, sorted."""
+    return status.select("status", "state", "error").orderBy("status", "state")
+
+
 def counts_by_source(records: DataFrame, by: str = "state") -> DataFrame:
     """Usable rows and workers per source, unknown headcounts as 0."""
     return records.groupBy(by).agg(

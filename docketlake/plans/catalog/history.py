@@ -334,8 +334,13 @@ def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.health_report(rows).withColumn("ok", F.col("ok").cast("int"))
 
 
-@query("health_lists", _STATUS_SQL + """SELECT status, count(*) AS n_sources, string_agg(state, ' ' ORDER BY state) AS codes,
-  cast(sum(rows_parsed) AS BIGINT) AS rows_parsed, cast(sum(workers) AS BIGINT) AS workers FROM status GROUP BY status""")
+@query("health_totals", _STATUS_SQL + """SELECT status, count(*) AS n_sources, cast(sum(rows_parsed) AS BIGINT) AS rows_parsed,
+  cast(sum(workers) AS BIGINT) AS workers FROM status GROUP BY status""")
+def health_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.health_totals(_status(spark, sf_dir))
+
+
+@query("health_lists", _STATUS_SQL + "SELECT status, state, error FROM status")
 def health_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.health_lists(_status(spark, sf_dir))
 

@@ -81,6 +81,9 @@ def test_summary_and_shares(spark):
     assert tuple(rollup.summary(df).first()) == (3, 150, 2, date(2024, 1, 1), date(2024, 2, 1))
     assert [tuple(r) for r in rollup.share_of_max(rollup.per_group(df)).orderBy("state").collect()] == [
         ("MD", 2, 100, 100.0), ("VA", 1, 50, 50.0)]
+    shared = rollup.share_of_max(rollup.per_group(df))
+    shared.collect()
+    assert "ReusedExchange" in shared._jdf.queryExecution().executedPlan().toString()
     empty = df.limit(0)
     assert tuple(rollup.summary(empty).first())[:3] == (0, 0, 0)
 
