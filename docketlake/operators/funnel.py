@@ -123,11 +123,12 @@ def build_records(
     def number(name: str) -> Column:
         return F.element_at("num", name)
 
-    def date(name: str) -> Column:
-        parsed = parse_date(F.element_at("v", name), as_of, dayfirst, unicode="done")
+    def date(value: Column, i: Column) -> Column:
+        parsed = parse_date(value, as_of, dayfirst, unicode="done")
         if not nums:
             return parsed
-        return F.when(number(name).isNotNull(), parse_date_number(number(name), as_of)).otherwise(parsed)
+        digits = F.get(F.array(*[number(n) for n in vocab.DATE_FIELDS]), i)
+        return F.when(digits.isNotNull(), parse_date_number(digits, as_of)).otherwise(parsed)
 
     count = parse_count(F.element_at("v", "employees"), unicode="done")
     if nums:
@@ -141,7 +142,7 @@ def build_records(
             "_city": text("city"),
             "industry": drop_bare_code(text("industry")),
             "zip_code": clean_zip(F.element_at("v", "zip_code"), unicode="done"),
-            **{n: date(n) for n in vocab.DATE_FIELDS},
+            "_dates": F.transform(F.array(*[F.element_at("v", n) for n in vocab.DATE_FIELDS]), date),
             "employees": count,
             "notice_type": classify_type(F.element_at("v", "notice_type"), unicode="done"),
         },
@@ -151,6 +152,7 @@ def build_records(
     long_city = F.substring("_city", 1, 300)
     whole = is_full_address(long_city)
     placed = typed.withColumns({
+        **{n: F.get("_dates", F.lit(i)) for i, n in enumerate(vocab.DATE_FIELDS)},
         "city": F.when(~whole, strip_state("_city")),
         "address": F.when(whole, F.coalesce("address", long_city)).otherwise(F.col("address")),
         "zip_code": F.when(whole, F.coalesce("zip_code", address_zip(long_city))).otherwise(F.col("zip_code")),

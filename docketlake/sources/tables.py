@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,43 +18,63 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions: folders that hold Spark's own success marker."""
+def _parts(spark: SparkSession, path: str, before: int | None) -> dict[str, str]:
+    """Newest committed folder of each table part.
+
+    A version counts once it holds Spark's own success marker.  The listing is one
+    entry per part and version, never per row or file.
+    """
     fs, root = _fs(spark, path)
     if not fs.exists(root):
-        return []
-    out = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(marker):
-            out.append(int(name.removeprefix("version=")))
-    return sorted(out)
-
-
-def read_snapshot(spark: SparkSession, path: str, before: int | None = None, schema=None) -> DataFrame | None:
-    """The newest committed snapshot, or the newest below ``before``."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    versions = [v for v in _versions(spark, path) if before is None or v < before]
-    return reader.parquet(f"{path}/version={versions[-1]:010d}") if versions else None
-
-
-def write_snapshot(df: DataFrame, path: str, version: int, partition: str | None = "state",
-                   sort: str | None = "notice_date") -> str:
-    """Write a whole snapshot under its version number.
-
-    A version counts once its success marker is there, so a lost job leaves the
-    last one in force, and replaying a version rewrites the same folder.  Rows stay
-    in the tasks of the merge join, which hashes by key, so one huge state has as
-    many writers as there are tasks.
+        return {}
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    versions = sorted(
+        s.getPath().getName()
+        for s in fs.listStatus(root)
+        if s.getPath().getName().startswith("version=") and fs.exists(jpath(s.getPath(), "_SUCCESS"))
+    )
+    newest: dict[str, str] = {}
+    for version in versions:
+        if before is None or int(version.removeprefix("version=")) < before:
+            for part in fs.listStatus(jpath(root, version)):
+                if part.isDirectory() and "=" in part.getPath().getName():
+                    newest[part.getPath().getName()] = f"{path}/{version}/{part.getPath().getName()}"
+    return newest
+
+
+def read_snapshot(
+    spark: SparkSession,
+    path: str,
+    before: int | None = None,
+    schema: T.StructType | None = None,
+    parts: Collection[str] | None = None,
+) -> DataFrame | None:
+    """The table as of the newest committed version, or the newest below ``before``.
+
+    ``parts`` reads only those values of the partition column.
+    """
+    newest = _parts(spark, path, before)
+    if parts is not None:
+        newest = {k: v for k, v in newest.items() if k.split("=", 1)[1] in parts}
+    if not newest:
+        return None
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(*newest.values()).drop("version")
+
+
+def write_snapshot(df: DataFrame, path: str, version: int, partition: str = "state",
+                   sort: str = "notice_date") -> str:
+    """Write the rewritten parts of a table under a version number.
+
+    Parts a version does not hold stay in force from earlier ones, so a batch only
+    rewrites what it touches.  A lost job leaves the last version in force, and a
+    replay rewrites the same folder.  Rows stay in the tasks of the merge join,
+    which hashes by key, so one huge part has as many writers as there are tasks.
     """
     target = f"{path}/version={version:010d}"
-    if partition and sort:
-        df = df.sortWithinPartitions(partition, sort)
-    writer = df.write.mode("overwrite")
-    if partition:
-        writer = writer.partitionBy(partition)
-    writer.parquet(target)
+    df.sortWithinPartitions(partition, sort).write.mode("overwrite").partitionBy(partition).parquet(target)
     return target
 
 

@@ -35,14 +35,16 @@ def merge_batch(
 ) -> None:
     """Upsert one micro-batch and commit it as version ``batch_id + 1``.
 
-    The merge reads the newest version below its own, so a replay after a lost
-    driver computes the same result from the same base.  With ``full_snapshot``
-    the batch is a whole listing of its states: what is missing is retired, what
-    returns becomes active again.
+    Only the states present in the batch are read and rewritten; the list of states
+    is the partition list, not data.  The merge reads the newest version below its
+    own, so a replay after a lost driver computes the same result from the same
+    base.  With ``full_snapshot`` the batch is a whole listing of its states: what
+    is missing is retired, what returns becomes active again.
     """
     spark = batch.sparkSession
     incoming = dedupe_batch(with_identity(batch), order)
-    target = read_snapshot(spark, path, batch_id + 1, vocab.NOTICE_SCHEMA)
+    touched = {r.state for r in batch.select("state").distinct().collect()}
+    target = read_snapshot(spark, path, batch_id + 1, vocab.NOTICE_SCHEMA, touched)
     if target is None:
         target = spark.createDataFrame([], vocab.NOTICE_SCHEMA)
     columns = vocab.NOTICE_SCHEMA.names

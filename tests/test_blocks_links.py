@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF
 from docketlake.operators import blocks
-from docketlake.plans.ingest import HANDLERS, handler, period_urls
+from docketlake.plans.ingest import HANDLERS, handler, period_urls, records_from_sources
 from docketlake.sources import links
 from docketlake.sources.json_rows import flat_cells, json_frames, walk
 from docketlake.sources.payload import looks_delimited, payload_kind
@@ -102,7 +102,13 @@ def test_periods_and_registry(spark):
     assert got == [("MD", 2023, "u/2023"), ("MD", 2022, "u/2022"), ("MD", 2021, "u/2021"), ("DC", 2024, "w/2024"), ("DC", 2019, "w/2019"), ("VA", None, "v")]
 
     @handler("zz")
-    def own(payloads):
-        return payloads
-
-    assert HANDLERS["ZZ"] is own
+    def own(payloads, as_of):
+        return payloads.selectExpr("doc_id", "'own' as employer", "state", "10 as employees")
+
+    rows = [("p", "u1", bytearray(b"<table><tr><th>Company</th><th>Employees</th></tr><tr><td>Acme</td><td>5</td></tr></table>"), "MD"),
+            ("q", "u2", bytearray(b"anything"), "ZZ")]
+    landed = spark.createDataFrame(rows, "doc_id string, url string, content binary, state string").selectExpr(
+        "*", "'' as content_type", "200 as status", "'s' as source_name", "url as source_url")
+    got = records_from_sources(landed, AS_OF).collect()
+    del HANDLERS["ZZ"]
+    assert sorted((r.doc_id, r.employer, r.employees) for r in got) == [("p", "Acme", 5), ("q", "own", 10)]

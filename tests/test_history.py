@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -124,12 +125,15 @@ def test_snapshots_and_replay(spark, tmp_path, batch):
     merge_batch(rows[1], 1, path, T2, ["ix"], full_snapshot=True)
     again = {(r.employer, r.is_active, str(r.first_seen_at)) for r in read_snapshot(spark, path).collect()}
     assert once == again == {("Acme", True, T1), ("Beta", False, T1)}
+    # A batch of another state leaves the files of this one alone.
+    before = set(read_snapshot(spark, path).inputFiles())
+    merge_batch(batch({"state": "VA"}), 2, path, T2, ["ix"])
+    after = set(read_snapshot(spark, path).inputFiles())
+    assert before < after and read_snapshot(spark, path).count() == 3
     # A version without its success marker does not count.
-    target = write_snapshot(read_snapshot(spark, path).limit(0), path, 9)
-    import os
-
+    target = write_snapshot(read_snapshot(spark, path).withColumn("employer", F.lit("lost")), path, 9)
     os.remove(f"{target}/_SUCCESS")
-    assert read_snapshot(spark, path).count() == 2
+    assert read_snapshot(spark, path).where("employer = 'lost'").count() == 0
 
 
 def test_source_status(spark):
