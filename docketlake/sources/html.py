@@ -1,17 +1,17 @@
 """HTML tables -> grid.
 
-The markup scan is the one step Spark has no operator for: a small standard
-library tokenizer runs inside ``mapInPandas``, and only on pages that hold a
+The markup scan is the one step Spark has no operator for: a small tag scanner
+runs inside ``mapInPandas``, and only on pages that hold a
 table at all.  Everything after the grid is column expressions.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -30,61 +30,65 @@ def _span(value: str | None, top: int) -> int:
     return max(1, min(int(digits), top)) if digits.isdigit() else 1
 
 
-class _Tables(HTMLParser):
-    """Collects, per table in document order, rows of (link, cells)."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list[dict]] = []
-        self.open: list[dict] = []
-        self.muted = 0
-
-    def _close_cell(self) -> None:
-        self.open[-1]["cell"] = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.muted += 1
-        elif tag == "table":
-            rows: list[dict] = []
-            self.tables.append(rows)
-            self.open.append({"rows": rows, "row": None, "cell": None})
-        elif self.open and tag == "tr":
-            self._close_cell()
-            self.open[-1]["row"] = {"link": None, "cells": []}
-            self.open[-1]["rows"].append(self.open[-1]["row"])
-        elif self.open and tag in ("td", "th"):
-            top = self.open[-1]
-            if top["row"] is not None:
-                at = dict(attrs)
+# Comments, script and style bodies, or one tag with its attributes.
+_TAG = re.compile(
+    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {name.lower(): html.unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)}
+
+
+def _tables(page: str) -> list[list[dict]]:
+    """Rows (link and cells) of every table, tables in document order."""
+    tables: list[list[dict]] = []
+    levels: list[dict] = []
+    done = 0
+    for tag in _TAG.finditer(page):
+        if levels and tag.start() > done:
+            text = page[done:tag.start()]
+            if not text.isspace():
+                for level in levels:
+                    if level["cell"] is not None:
+                        level["cell"]["text"].append(text)
+        done = tag.end()
+        closing, name = tag.group(1), (tag.group(2) or "").lower()
+        if name == "table":
+            if not closing:
+                rows: list[dict] = []
+                tables.append(rows)
+                levels.append({"rows": rows, "row": None, "cell": None})
+            elif levels:
+                levels.pop()
+        elif not levels:
+            continue
+        elif name == "tr":
+            top = levels[-1]
+            top["cell"] = top["row"] = None
+            if not closing:
+                top["row"] = {"link": None, "cells": []}
+                top["rows"].append(top["row"])
+        elif name in ("td", "th"):
+            top = levels[-1]
+            top["cell"] = None
+            if not closing and top["row"] is not None:
+                given = _attributes(tag.group(3)) if "span" in tag.group(3).lower() else {}
                 top["cell"] = {
                     "text": [],
-                    "cols": _span(at.get("colspan"), MAX_COLSPAN),
-                    "rows": _span(at.get("rowspan"), MAX_ROWSPAN),
+                    "cols": _span(given.get("colspan"), MAX_COLSPAN),
+                    "rows": _span(given.get("rowspan"), MAX_ROWSPAN),
                 }
                 top["row"]["cells"].append(top["cell"])
-        elif tag == "a":
-            href = dict(attrs).get("href")
-            for level in self.open:
+        elif name == "a" and not closing:
+            href = _attributes(tag.group(3)).get("href")
+            for level in levels:
                 if href is not None and level["row"] is not None and level["row"]["link"] is None:
                     level["row"]["link"] = href
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.muted = max(0, self.muted - 1)
-        elif self.open and tag == "table":
-            self.open.pop()
-        elif self.open and tag in ("td", "th"):
-            self._close_cell()
-        elif self.open and tag == "tr":
-            self._close_cell()
-            self.open[-1]["row"] = None
-
-    def handle_data(self, data: str) -> None:
-        if not self.muted:
-            for level in self.open:
-                if level["cell"] is not None:
-                    level["cell"]["text"].append(data)
+    return tables
 
 
 def _rectangle(rows: list[dict]) -> Iterator[tuple[list[str], str | None]]:
@@ -103,8 +107,9 @@ def _rectangle(rows: list[dict]) -> Iterator[tuple[list[str], str | None]]:
         kept: dict[int, tuple[int, str]] = {}
         drop_in()
         for cell in row["cells"]:
-            text = re.sub(r"\s+", " ", " ".join(t.strip() for t in cell["text"] if t.strip())).strip()
-            text = unicodedata.normalize("NFKC", text)
+            text = " ".join(html.unescape(" ".join(cell["text"])).split())
+            if not text.isascii():
+                text = unicodedata.normalize("NFKC", text)
             for _ in range(cell["cols"]):
                 if cell["rows"] > 1:
                     kept[len(line)] = (cell["rows"] - 1, text)
@@ -119,11 +124,8 @@ def _scanner(keep: list[str]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, html, *rest in batch[["doc_id", "html", *keep]].itertuples(index=False):
-                reader = _Tables()
-                reader.feed(html)
-                reader.close()
-                for frame_id, rows in enumerate(reader.tables):
+            for doc_id, page, *rest in batch[["doc_id", "html", *keep]].itertuples(index=False):
+                for frame_id, rows in enumerate(_tables(page)):
                     filled = list(_rectangle(rows))
                     out.append((doc_id, frame_id, [c for c, _ in filled], [x for _, x in filled], *rest))
             yield pd.DataFrame(out, columns=["doc_id", "frame_id", "grid", "links", *keep])
@@ -138,7 +140,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def html_frames(
     pages: DataFrame,
     doc_id: Column | str = "doc_id",
-    html: Column | str = "html",
+    markup: Column | str = "html",
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per table: ``doc_id, frame_id, grid, links`` and the ``keep`` columns.
@@ -147,17 +149,17 @@ def html_frames(
     hyperlink of each row.  A page is parsed once and its tables stay together.
     """
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    html = F.col(html) if isinstance(html, str) else html
-    rows = pages.select(doc_id.cast("string").alias("doc_id"), html.alias("html"), *keep).where(
+    markup = F.col(markup) if isinstance(markup, str) else markup
+    rows = pages.select(doc_id.cast("string").alias("doc_id"), markup.alias("html"), *keep).where(
         F.col("html").rlike(r"(?i)<table")
     )
     extra = [rows.schema[name] for name in keep]
     return rows.mapInPandas(_scanner(list(keep)), T.StructType([*vocab.FRAME_SCHEMA.fields, *extra]))
 
 
-def html_tables(pages: DataFrame, doc_id: Column | str = "doc_id", html: Column | str = "html") -> DataFrame:
+def html_tables(pages: DataFrame, doc_id: Column | str = "doc_id", markup: Column | str = "html") -> DataFrame:
     """Every table of every page as grid rows."""
-    return explode_grid(html_frames(pages, doc_id, html))
+    return explode_grid(html_frames(pages, doc_id, markup))
 
 
 def explode_grid(frames: DataFrame) -> DataFrame:
