@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SF
+from docketlake.plans.catalog import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -35,7 +36,7 @@ def _rows(columns, data):
     return sorted(columns), sorted((tuple(_plain(r[i]) for i in order) for r in data), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
