@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import similar
+from docketlake.llm import quality, rules, similar
 from docketlake.llm.notices import from_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,31 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "hash")
+
+
+def _fold(parts: int) -> Column:
+    """Fold of a notice: crc32 of its key as text."""
+    return F.crc32(F.col("hash").cast("string")) % parts
+
+
+@query
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notices = _notices(spark, sf_dir)
+    model = quality.fit_quality(notices, _labels(spark, sf_dir), learn=_fold(5) != 0)
+    return quality.score_quality(notices, model, threshold=0.3).select(
+        F.col("hash").alias("doc_id"), (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = rules.text_statistics(_notices(spark, sf_dir))
+    learned = rules.fit_rules(stats, _labels(spark, sf_dir))
+    return rules.apply_rules(stats, learned).select(
+        F.col("hash").alias("doc_id"), *rules.STATISTICS, "base_failed", "kept")
+
+
 @query
 def op8_similar_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar.similar_notices(_notices(spark, sf_dir), n=3, threshold=90)
