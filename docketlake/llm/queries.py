@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import quality, rules, similar
+from docketlake.llm import leaks, quality, rules, similar
 from docketlake.llm.notices import from_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def _fold(parts: int) -> Column:
     return F.crc32(F.col("hash").cast("string")) % parts
 
 
+@query
+def op4_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leaks.leaked_items(_notices(spark, sf_dir), items).withColumnRenamed("hash", "doc_id")
+
+
 @query
 def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = _notices(spark, sf_dir)
