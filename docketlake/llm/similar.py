@@ -20,8 +20,12 @@ SKETCH_BITS = 20      # counters of the document-frequency sketch
 SKETCH_PARTS = 16     # pieces in which the sketch is added up
 MAX_MATCHES = 4       # longest prefix extension tried
 VERIFY_COST = 8.0     # cost of verifying a candidate against reading one posting
+KEY_BOUND = 1_000_000  # keys (one number or hash each) that a broadcast may hold
 STAR_ROUNDS = 2       # linear rounds (one leader per text) before the pairwise round
 
+_SEED = 0x5851F42D4C957F2D
+_DIGEST = ["n_shingles", "set_a", "set_b"]
+
 
 def _row_shingles(s: kernel.Slice, n: int) -> Iterator[np.ndarray]:
     buf = kernel.fold(s.buf)
@@ -107,7 +111,7 @@ def shingle_profiles(notices: DataFrame, levels: np.ndarray, key: str = KEY, tex
     def profile(batches):
         for s in kernel.slices(batches, text):
             rows = list(_row_shingles(s, n))
-            seed = np.uint64(0x5851F42D4C957F2D)
+            seed = np.uint64(_SEED)
             made = [adaptive_prefix(x, sent.value, threshold, max_matches) if len(x) else (x, 0) for x in rows]
             yield pa.record_batch([
                 s.batch.column(key),
@@ -123,35 +127,65 @@ def shingle_profiles(notices: DataFrame, levels: np.ndarray, key: str = KEY, tex
     return notices.select(key, text).mapInArrow(profile, schema)
 
 
-def token_sets(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int = 3) -> DataFrame:
-    """Whole shingle set of each text as a sorted list."""
+def packed_texts(notices: DataFrame, wanted: DataFrame, key: str = KEY, text: str = TEXT, n: int = 3) -> DataFrame:
+    """Compressed whole texts ``(key, packed)`` of the wanted notices.
+
+    ``wanted`` holds ``key`` and the set digest; of rows that repeat a key, those with another
+    set are left out.
+    """
     kind = notices.schema[key].dataType
+    seed = np.uint64(_SEED)
 
-    def sets(batches):
+    def pack(batches):
+        coder = zstandard.ZstdCompressor(level=3)
         for s in kernel.slices(batches, text):
-            yield pa.record_batch([s.batch.column(key), pa.array([x.tobytes() for x in _row_shingles(s, n)], pa.binary())],
-                                  ["key", "tokens"])
+            rows = list(_row_shingles(s, n))
+            same = [len(x) == size and x.sum(dtype=np.uint64).view(np.int64) == a
+                    and kernel.mix(x ^ seed).sum(dtype=np.uint64).view(np.int64) == b
+                    for x, size, a, b in zip(rows, *(s.batch.column(c).to_pylist() for c in _DIGEST), strict=True)]
+            raw = s.buf.tobytes()
+            yield pa.record_batch([s.batch.column("key"),
+                                   pa.array([coder.compress(raw[i:j]) for i, j in zip(s.start, s.end, strict=True)], pa.binary())],
+                                  ["key", "packed"]).filter(pa.array(same, pa.bool_()))
 
-    return notices.select(key, text).mapInArrow(
-        sets, T.StructType([T.StructField("key", kind), T.StructField("tokens", T.BinaryType())]))
+    found = notices.select(F.col(key).alias("key"), F.col(text).alias(text)).join(_small(wanted, KEY_BOUND), "key")
+    return found.mapInArrow(pack, T.StructType([T.StructField("key", kind), T.StructField("packed", T.BinaryType())]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose shingle sets reach the similarity, by exact set comparison."""
+def _small(keys: DataFrame, bound: int) -> DataFrame:
+    """The keys with a broadcast hint if there are at most ``bound``; Spark shuffles them otherwise."""
+    return F.broadcast(keys) if keys.count() <= bound else keys
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose shingle sets reach the similarity, by comparing the whole sets."""
     kind = pairs.schema["a"].dataType
 
     def compare(batches):
+        coder = zstandard.ZstdDecompressor()
+
+        def tokens(packed: bytes) -> np.ndarray:
+            raw = np.frombuffer(coder.decompress(packed), np.uint8)
+            bounds = np.array([0]), np.array([len(raw)])
+            return next(_row_shingles(kernel.Slice(None, raw, *bounds), n))
+
+        last, x = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_of_a"), batch.column("set_of_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
+            for first, second in zip(batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True):
+                if first != last:
+                    last, x = first, tokens(first)
+                y = tokens(second)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a = sets.select(F.col("key").alias("a"), F.col("tokens").alias("set_of_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("tokens").alias("set_of_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    needed = texts.join(_small(keys, KEY_BOUND), "key", "left_semi")
+    a = needed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a"))
+    b = needed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b"))
+    # Joined on ``a`` last, so that a leader's pairs follow each other.
+    return pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(
         compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
@@ -167,8 +201,9 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
     ``n``-word shingles; a text of fewer words is one shingle.  Two notices link when
     ``100 * intersection >= threshold * union``; ``component_id`` is the smallest key
     reachable by links.  NULL, empty and blank texts have no shingle and link with
-    nothing.  Rows repeating a key share its component.  A NULL key is kept as a row of
-    its own with a NULL component.  Other columns are ignored.
+    nothing.  Rows that repeat a key share one component, found by the largest of their
+    sets.  A NULL key is kept as a row of its own with a NULL component.  Other columns
+    are ignored.
 
     Method: equal sets become one class.  Each class gets a prefix of its rarest tokens
     (document-frequency sketch over all texts), lengthened where that is cheaper, with as
@@ -180,44 +215,29 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
     """
     levels = frequency_sketch(notices, text, n)
     profiles = saved(shingle_profiles(notices, levels, key, text, n, threshold, max_matches), "profiles")
-    identity = ["n_shingles", "set_a", "set_b"]
-    classes = profiles.where("n_shingles > 0 AND key IS NOT NULL").groupBy(*identity).agg(F.min("key").alias("rep"))
-    member = saved(profiles.select("key", *identity).join(classes, identity, "left")
-                   .select("key", "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("rep", "key")).alias("rep")),
-                   "members")
-    # Rows that repeat a key may hold different texts; the key then reads as one node.
-    bridges = member.where("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).join(
-        member.groupBy(F.col("key").alias("a")).agg(F.count_distinct("rep").alias("reps")).where("reps > 1").select("a"), "a")
-    postings = (profiles.join(classes.withColumnRenamed("rep", "key"), [*identity, "key"], "left_semi")
-                .dropDuplicates([*identity, "key"])
-                .select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "matches", F.explode("prefix").alias("token")))
+    filled = profiles.where("n_shingles > 0 AND key IS NOT NULL")
+    # A key stands for one set: of rows that repeat it, the largest.
+    chosen = filled.groupBy("key").agg(F.max(F.struct(*_DIGEST)).alias("set")).select("key", "set.*")
+    classes = saved(chosen.groupBy(*_DIGEST).agg(F.min("key").alias("rep")), "classes")
+    member = chosen.join(classes, _DIGEST).select("key", "rep")
+    postings = (filled.withColumnRenamed("key", "rep").join(classes, ["rep", *_DIGEST], "left_semi")
+                .dropDuplicates(["rep"])
+                .select("rep", F.col("n_shingles").alias("size"), "matches", F.explode("prefix").alias("token")))
     shared = postings.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
     postings = saved(postings.join(shared, "token"), "postings")
-    involved = postings.select(F.col("rep").alias(key)).distinct()
-    sets = saved(token_sets(notices.select(key, text).join(involved, key, "left_semi"), key, text, n)
-                 .dropDuplicates(["key"]), "sets")
+    wanted = classes.withColumnRenamed("rep", "key").join(
+        postings.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    texts = saved(packed_texts(notices, wanted, key, text, n), "texts")
 
-    links = saved(bridges.select("a", "b"), "bridges")
-    tried = None
-    label = None
+    links = tried = label = None
     for turn in range(STAR_ROUNDS):
-        open_posts = _open_postings(postings, label)
-        pick = F.min_by if turn % 2 == 0 else F.max_by
-        leaders = open_posts.groupBy("token").agg(
-            pick(F.struct("rep", "size", "component"), F.struct("component", "rep")).alias("leader"))
-        met = (open_posts.join(leaders, "token")
-               .where("rep != leader.rep AND component != leader.component")
-               .select("rep", F.col("size").alias("size_a"), F.col("leader.rep").alias("b"),
-                       F.col("leader.size").alias("size_b"))
-               .where(_sizes_fit(threshold))
-               .groupBy("rep", "b").agg(F.count("*").alias("votes")))
-        pairs = met.groupBy("rep").agg(F.max_by("b", F.struct("votes", "b")).alias("b")).select(
-            F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+        pairs = _leader_pairs(_open_postings(postings, label), threshold, first=turn % 2 == 0)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = _untried(pairs, tried)
         pairs = saved(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = saved(links.unionByName(verified(pairs, sets, threshold)), "links")
+        near = verified(pairs, texts, n, threshold)
+        links = saved(near if links is None else links.unionByName(near), "links")
         label = components(links)
 
     rest = _open_postings(postings, label)
@@ -225,13 +245,35 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
                       F.col("matches").alias("need_a"), F.col("component").alias("in_a"))
     two = rest.select("token", F.col("rep").alias("b"), F.col("size").alias("size_b"),
                       F.col("matches").alias("need_b"), F.col("component").alias("in_b"))
-    pairs = (one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _sizes_fit(threshold))
+    pairs = (one.join(two, "token")
+             .where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _sizes_fit(threshold))
              .groupBy("a", "b").agg(F.count("*").alias("shares"), F.first(F.least("need_a", "need_b")).alias("need"))
-             .where("shares >= need").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    links = saved(links.unionByName(verified(pairs, sets, threshold)), "links")
-    label = components(links)
-    return (member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-            .select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id")))
+             .where("shares >= need").select("a", "b"))
+    pairs = saved(_untried(pairs, tried), "pairs")
+    label = components(saved(links.unionByName(verified(pairs, texts, n, threshold)), "links"))
+    grouped = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", F.coalesce("component", "rep").alias("component_id"))
+    return (profiles.select("key", "n_shingles").join(grouped, "key", "left")
+            .select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id")))
+
+
+def _leader_pairs(open_posts: DataFrame, threshold: int, first: bool) -> DataFrame:
+    """For every text the leader that most of its tokens name; a token's leader is its first or last text."""
+    pick = F.min_by if first else F.max_by
+    leaders = open_posts.groupBy("token").agg(
+        pick(F.struct("rep", "size", "component"), F.struct("component", "rep")).alias("leader"))
+    met = (open_posts.join(leaders, "token")
+           .where("rep != leader.rep AND component != leader.component")
+           .select(F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("leader.rep").alias("a"),
+                   F.col("leader.size").alias("size_a"))
+           .where(_sizes_fit(threshold))
+           .groupBy("a", "b").agg(F.count("*").alias("votes")))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    return pairs.select("a", "b", low, high).join(tried.select(low, high), ["low", "high"], "left_anti").select("a", "b")
 
 
 def _open_postings(postings: DataFrame, label: DataFrame | None) -> DataFrame:
