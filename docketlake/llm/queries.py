@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import leaks, quality, rules, similar
+from docketlake.llm import leaks, pieces, quality, rules, similar
 from docketlake.llm.notices import from_documents
 
+TOKENIZERS = os.environ.get("DOCKETLAKE_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,6 +36,14 @@ def _fold(parts: int) -> Column:
     return F.crc32(F.col("hash").cast("string")) % parts
 
 
+@query
+def op1_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_notices(_notices(spark, sf_dir), PIECE_MODEL)
+    back = pieces.decode_notices(encoded, PIECE_MODEL)
+    return back.select(F.col("hash").alias("doc_id"), F.size("piece_ids").alias("n_pieces"), "piece_ids",
+                       (F.col("decoded") == F.coalesce("notes", F.lit(""))).alias("round_trip"))
+
+
 @query
 def op4_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
