@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import leaks, pieces, quality, rules, similar
+from docketlake.llm import leaks, passages, pieces, quality, rules, similar
 from docketlake.llm.notices import from_documents
 
 TOKENIZERS = os.environ.get("DOCKETLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +44,14 @@ def op1_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("decoded") == F.coalesce("notes", F.lit(""))).alias("round_trip"))
 
 
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.drop_repeats(_notices(spark, sf_dir), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select(F.col("hash").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
