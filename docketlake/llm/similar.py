@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +16,12 @@ from docketlake.llm.components import components
 from docketlake.llm.notices import KEY, TEXT
 from docketlake.llm.store import saved
 
-SKETCH_BITS = 20      # counters of the document-frequency sketch
+SKETCH_BITS = 22      # counters of the document-frequency sketch
 SKETCH_PARTS = 16     # pieces in which the sketch is added up
-MAX_MATCHES = 4       # longest prefix extension tried
+MAX_MATCHES = 3       # longest prefix extension tried
 VERIFY_COST = 8.0     # cost of verifying a candidate against reading one posting
 KEY_BOUND = 1_000_000  # keys (one number or hash each) that a broadcast may hold
-STAR_ROUNDS = 2       # linear rounds (one leader per text) before the pairwise round
+STAR_ROUNDS = 3       # linear rounds (one leader per text) before the pairwise round
 
 _SEED = 0x5851F42D4C957F2D
 _DIGEST = ["n_shingles", "set_a", "set_b"]
@@ -189,8 +189,10 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Data
         compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _sizes_fit(threshold: int):
-    return 100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+def _may_reach(threshold: int):
+    """Can two texts that share this token reach the similarity, given their sizes and lone tokens?"""
+    most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
+    return 100 * most >= threshold * (F.col("size_a") + F.col("size_b") - most)
 
 
 def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int = 3,
@@ -207,9 +209,9 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
 
     Method: equal sets become one class.  Each class gets a prefix of its rarest tokens
     (document-frequency sketch over all texts), lengthened where that is cheaper, with as
-    many more tokens to share.  Two linear rounds compare every class with one leader of
+    many more tokens to share.  Three linear rounds compare every class with one leader of
     its tokens; after that only tokens that still join different components give pairs,
-    which must share ``min`` of the two required numbers of tokens.  Every pair is
+    which must be able to reach the threshold by their sizes and lone tokens, and share ``min`` of the two required numbers of tokens.  Every pair is
     verified on its whole sets.  Pairs inside a component are not needed and not made,
     so a group of thousands of copies costs its size, not its square.
     """
@@ -222,16 +224,22 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
     member = chosen.join(classes, _DIGEST).select("key", "rep")
     postings = (filled.withColumnRenamed("key", "rep").join(classes, ["rep", *_DIGEST], "left_semi")
                 .dropDuplicates(["rep"])
-                .select("rep", F.col("n_shingles").alias("size"), "matches", F.explode("prefix").alias("token")))
+                .select("rep", F.col("n_shingles").alias("size"), "matches", F.size("prefix").alias("width"),
+                        F.posexplode("prefix").alias("pos", "token")))
     shared = postings.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
-    postings = saved(postings.join(shared, "token"), "postings")
+    of_text = Window.partitionBy("rep")
+    # A rarer prefix token that no other prefix has is in no partner: ``alone`` counts those before a
+    # posting, ``lonely`` all of a text.
+    postings = saved(postings.join(shared, "token").select(
+        "rep", "size", "matches", "token", (F.col("pos") - F.row_number().over(of_text.orderBy("pos")) + 1).alias("alone"),
+        (F.col("width") - F.count("*").over(of_text)).alias("lonely")), "postings")
     wanted = classes.withColumnRenamed("rep", "key").join(
         postings.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
     texts = saved(packed_texts(notices, wanted, key, text, n), "texts")
 
     links = tried = label = None
     for turn in range(STAR_ROUNDS):
-        pairs = _leader_pairs(_open_postings(postings, label), threshold, first=turn % 2 == 0)
+        pairs = _leader_pairs(_open_postings(postings, label), threshold, turn)
         if tried is not None:
             pairs = _untried(pairs, tried)
         pairs = saved(pairs, "pairs")
@@ -242,11 +250,11 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
 
     rest = _open_postings(postings, label)
     one = rest.select("token", F.col("rep").alias("a"), F.col("size").alias("size_a"),
-                      F.col("matches").alias("need_a"), F.col("component").alias("in_a"))
+                      F.col("matches").alias("need_a"), F.col("component").alias("in_a"), F.col("alone").alias("alone_a"))
     two = rest.select("token", F.col("rep").alias("b"), F.col("size").alias("size_b"),
-                      F.col("matches").alias("need_b"), F.col("component").alias("in_b"))
+                      F.col("matches").alias("need_b"), F.col("component").alias("in_b"), F.col("alone").alias("alone_b"))
     pairs = (one.join(two, "token")
-             .where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _sizes_fit(threshold))
+             .where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _may_reach(threshold))
              .groupBy("a", "b").agg(F.count("*").alias("shares"), F.first(F.least("need_a", "need_b")).alias("need"))
              .where("shares >= need").select("a", "b"))
     pairs = saved(_untried(pairs, tried), "pairs")
@@ -257,16 +265,19 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
             .select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id")))
 
 
-def _leader_pairs(open_posts: DataFrame, threshold: int, first: bool) -> DataFrame:
-    """For every text the leader that most of its tokens name; a token's leader is its first or last text."""
-    pick = F.min_by if first else F.max_by
+def _leader_pairs(open_posts: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """For every text the leader that most of its tokens name.
+
+    A token's leader is the text with the fewest lone tokens, which is the likeliest to have
+    links; equal ones are told apart by a hash that differs from turn to turn.
+    """
     leaders = open_posts.groupBy("token").agg(
-        pick(F.struct("rep", "size", "component"), F.struct("component", "rep")).alias("leader"))
+        F.min_by(F.struct("rep", "size", "component", "alone"), F.struct("lonely", F.xxhash64("rep", F.lit(turn)), "rep")).alias("leader"))
     met = (open_posts.join(leaders, "token")
            .where("rep != leader.rep AND component != leader.component")
-           .select(F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("leader.rep").alias("a"),
-                   F.col("leader.size").alias("size_a"))
-           .where(_sizes_fit(threshold))
+           .select(F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("alone").alias("alone_b"),
+                   F.col("leader.rep").alias("a"), F.col("leader.size").alias("size_a"), F.col("leader.alone").alias("alone_a"))
+           .where(_may_reach(threshold))
            .groupBy("a", "b").agg(F.count("*").alias("votes")))
     return met.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
