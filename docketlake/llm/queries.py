@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import leaks, passages, pieces, quality, rules, similar
+from docketlake.llm import archive, dialogues, leaks, passages, pieces, quality, rules, similar
 from docketlake.llm.notices import from_documents
+from docketlake.session import work_dir
 
 TOKENIZERS = os.environ.get("DOCKETLAKE_TOKENIZERS", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -52,6 +53,33 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("url", "source_url")
+    path = work_dir(spark, "llm-archive")
+    archive.write_archives(pages, path)
+    whole = archive.reassemble(archive.read_records(spark, path))
+    found = archive.resolved(whole)
+    number = F.regexp_extract
+    return found.select(
+        number("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"), "payload_bytes",
+        F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), "record_type",
+        number("refers_to", r"page:(-?\d+)", 1).cast("long").alias("refers_to"))
+
+
+ORACLES["op3_page_archive"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM q
+"""
+
+
 @query
 def op4_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -74,6 +102,39 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("hash").alias("doc_id"), *rules.STATISTICS, "base_failed", "kept")
 
 
+@query
+def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogues.rotate_perspectives(turns).select(
+        F.col("conversation").alias("conv_id"), "part", "participant", F.size("messages").alias("n_messages"), "rendered",
+        F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["begin"].cast("string"), m["end"].cast("string"))), ",").alias("masks"))
+
+
+ORACLES["op7_perspectives"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(turn // 512, 0) AS part, turn,
+         CASE WHEN coalesce(lower(trim(role)), '') = '' THEN 'unknown' ELSE lower(trim(role)) END AS speaker,
+         coalesce(text, '') AS body
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'
+), m AS (
+  SELECT t.conv_id, part, participant, speaker = participant AS own,
+         concat('<|', CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant'
+                           ELSE concat('user name=', speaker) END, '|>') AS head, body,
+         row_number() OVER w AS n
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  WINDOW w AS (PARTITION BY t.conv_id, part, participant ORDER BY turn NULLS FIRST, speaker, body)
+), o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, participant ORDER BY n) AS e FROM m
+)
+SELECT conv_id, CAST(part AS BIGINT) AS part, participant, CAST(count(*) AS INTEGER) AS n_messages,
+       string_agg(concat(head, body, chr(10)), '' ORDER BY n) AS rendered,
+       coalesce(string_agg(concat(CAST(e - length(body) - 1 AS BIGINT), '-', CAST(e AS BIGINT)), ',' ORDER BY n) FILTER (WHERE own), '') AS masks
+FROM o GROUP BY conv_id, part, participant
+"""
+
+
 @query
 def op8_similar_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar.similar_notices(_notices(spark, sf_dir), n=3, threshold=90)
