@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import archive, dialogues, leaks, passages, pieces, quality, rules, similar
+from docketlake.llm import archive, counts, dialogues, leaks, passages, pieces, quality, rules, similar
 from docketlake.llm.notices import from_documents
 from docketlake.session import work_dir
 
 TOKENIZERS = os.environ.get("DOCKETLAKE_TOKENIZERS", "/opt/tokenizers")
+BYTE_RULES = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +87,11 @@ def op4_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_notices(spark, sf_dir), items).withColumnRenamed("hash", "doc_id")
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(_notices(spark, sf_dir), BYTE_RULES, limit=1024).withColumnRenamed("hash", "doc_id")
+
+
 @query
 def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = _notices(spark, sf_dir)
