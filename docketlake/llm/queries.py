@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import archive, counts, dialogues, leaks, passages, pieces, quality, rules, similar
+from docketlake.llm import archive, counts, dialogues, language, leaks, passages, pieces, quality, rules, similar
 from docketlake.llm.notices import from_documents
 from docketlake.session import work_dir
 
@@ -92,6 +92,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_notices(spark, sf_dir), BYTE_RULES, limit=1024).withColumnRenamed("hash", "doc_id")
 
 
+@query
+def op6_language_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score_language(_notices(spark, sf_dir), learn=_fold(7) != 2).withColumnRenamed("hash", "doc_id")
+
+
 @query
 def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = _notices(spark, sf_dir)
