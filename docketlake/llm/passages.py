@@ -11,7 +11,7 @@ symbol.  The common prefixes that fall out give the repeated intervals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +72,12 @@ def _pieces(batches, text: str, length: int) -> Iterator[tuple[kernel.Slice, int
             yield kernel.Slice(s.batch, part, np.array([0]), np.array([len(part)])), at
 
 
-def identified(notices: DataFrame, key: str = KEY, text: str = TEXT) -> DataFrame:
-    """Key and text as ``key, text`` with the row's identity."""
-    own = notices.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return own.select(F.xxhash64("key", "text").alias("row_a"), F.xxhash64("text", F.lit(1), "key").alias("row_b"), "key", "text")
+def identified(notices: DataFrame, key: str = KEY, text: str = TEXT, carry: Sequence[str] = ()) -> DataFrame:
+    """Key and text as ``key, text`` with the row's identity and other columns as ``carried``."""
+    own = notices.select(F.col(key).alias("key"), F.col(text).alias("text"),
+                         F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    return own.select(F.xxhash64("key", "text").alias("row_a"), F.xxhash64("text", F.lit(1), "key").alias("row_b"),
+                      "key", "text", "carried")
 
 
 def reaches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -186,7 +188,8 @@ def _border_contexts(rows: DataFrame, borders: DataFrame, length: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                              ["gram", "reach", "copies", "low", "high", "before", "after"])
 
-    return rows.dropDuplicates(_ROW).join(places, _ROW).select("text", "places").mapInArrow(
+    # Rows that are equal come more than once; all their reaches have copies anyway.
+    return rows.select(*_ROW, "text").join(places, _ROW).select("text", "places").mapInArrow(
         cut, "gram long, reach long, copies long, low int, high int, before binary, after binary")
 
 
@@ -247,19 +250,20 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return settled.unionByName(copied).unionByName(partly)
 
 
-def drop_repeats(notices: DataFrame, key: str = KEY, text: str = TEXT, length: int = LENGTH) -> DataFrame:
+def drop_repeats(notices: DataFrame, key: str = KEY, text: str = TEXT, length: int = LENGTH,
+                 carry: list[str] | None = None) -> DataFrame:
     """Cut every byte that lies in a string of ``length`` bytes which also starts elsewhere.
 
-    One row per input row: ``key, n_bytes, spans, kept``.  Strings are compared as UTF-8 bytes, in
+    One row per input row: ``key, n_bytes, spans, kept`` and the columns named in ``carry``.  Strings are compared as UTF-8 bytes, in
     this text or any other, overlapping ones included, never across two texts; they are judged on
     the input, so every copy goes, the first too.  ``spans`` are the maximal removed runs
     (begin, end), ``kept`` the remaining bytes.  NULL and empty texts have no bytes.  Keys may
     be NULL or repeat: every row is a text of its own.  Other columns are ignored.
     """
-    own = identified(notices, key, text)
+    carry = list(carry or ())
+    own = identified(notices, key, text, carry)
     starts = repeated_spans(own, length).groupBy(*_ROW).agg(
         F.collect_list(F.struct("first", "last")).alias("starts"))  # no more than a text has bytes
-    kind = own.schema["key"].dataType
 
     def cut(batches):
         for batch in batches:
@@ -277,10 +281,11 @@ def drop_repeats(notices: DataFrame, key: str = KEY, text: str = TEXT, length: i
                 spans.append([{"begin": a, "end": b} for a, b in runs])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(size, pa.int64()),
+                [batch.column("key"), batch.column("carried"), pa.array(size, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["key", "n_bytes", "spans", "kept"])
+                ["key", "carried", "n_bytes", "spans", "kept"])
 
-    schema = T.StructType([T.StructField("key", kind)]).add("n_bytes", "long").add(
+    schema = T.StructType([own.schema["key"], own.schema["carried"]]).add("n_bytes", "long").add(
         "spans", T.ArrayType(T.StructType().add("begin", "long").add("end", "long"))).add("kept", "binary")
-    return own.join(starts, _ROW, "left").select("key", "text", "starts").mapInArrow(cut, schema).withColumnRenamed("key", key)
+    done = own.join(starts, _ROW, "left").select("key", "carried", "text", "starts").mapInArrow(cut, schema)
+    return done.select(F.col("key").alias(key), "n_bytes", "spans", "kept", *[F.col("carried")[c].alias(c) for c in carry])
