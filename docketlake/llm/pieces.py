@@ -6,6 +6,7 @@ The vocabulary is read from a ``.model`` file given by path; nothing is trained
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +19,8 @@ from docketlake.llm import kernel
 from docketlake.llm.notices import TEXT
 
 SPACE = "▁"        # the mark that stands for a space
-CACHE_WORDS = 400_000   # encoded words a task remembers, at most; the oldest go first
+CACHE_WORDS = 600_000   # encoded words a worker remembers, at most; the oldest go first
+SHORT_WORD = 64         # characters up to which words share paths and are remembered
 DECODE_ROWS = 500        # rows decoded at once
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the worst piece
 
@@ -72,7 +74,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.floor = min(vocabulary.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
 
@@ -140,37 +142,61 @@ class Encoder:
         the one step that merging allows.
         """
         v = self.v
-        ids, score, longest, floor = v.ids, v.score, v.longest, self.floor
         best: dict[int, float] = {0: 0.0}          # score of each boundary that a path reaches
         step: dict[int, int] = {}                  # boundary -> boundary before it
-        done, check = 0, 2 * longest
-        for end in range(1, len(text) + 1):
-            if v.merges:
+        done, end = 0, 0
+        while end < len(text):
+            first, end = end + 1, min(end + v.longest, len(text))
+            self._extend(text, first, end, done, best, step)
+            meet = self._meeting(step, end - v.longest + 1, end, done) if end < len(text) else done
+            if meet > done:
+                before = step[meet]
+                yield from self._path(text, step, done, meet)
+                best = {b: s for b, s in best.items() if b >= meet}
+                step = {b: s for b, s in step.items() if b > meet}
+                done = meet
+                if v.merges:
+                    step[meet] = before            # the piece before the cut still decides what may follow
+        yield from self._path(text, step, done, len(text))
+
+    def _extend(self, text: str, first: int, last: int, done: int, best: dict[int, float], step: dict[int, int]) -> None:
+        """Find the surviving step to each boundary from ``first`` to ``last``."""
+        ids, score, longest, pairs, halves = self.v.ids, self.v.score, self.v.longest, self.pairs, self.halves
+        if self.v.merges:
+            for end in range(first, last + 1):
                 for begin in range(max(done, end - longest), end):
                     piece = text[begin:end]
-                    if (piece in ids and self._halves(piece) or end - begin == 1) and begin in best \
-                            and (begin not in step or self._follows(text[step[begin]:begin], piece)):
+                    if (piece in ids and (halves.get(piece) or self._halves(piece)) or end - begin == 1) and begin in best:
+                        if begin in step:
+                            left = text[step[begin]:begin]
+                            known = pairs.get((left, piece))
+                            if not (self._follows(left, piece) if known is None else known):
+                                continue
                         best[end], step[end] = 0.0, begin
                         break
-            else:
-                top, at = best[end - 1] + floor, end - 1
-                for begin in range(max(done, end - longest), end):
-                    k = ids.get(text[begin:end])
-                    if k is not None and best[begin] + score[k] > top:
-                        top, at = best[begin] + score[k], begin
-                best[end], step[end] = top, at
-            if end == check:
-                check += longest
-                meet = self._meeting(step, end - longest + 1, end, done)
-                if meet > done:
-                    before = step[meet]
-                    yield from self._path(text, step, done, meet)
-                    best = {b: s for b, s in best.items() if b >= meet}
-                    step = {b: s for b, s in step.items() if b > meet}
-                    done = meet
-                    if v.merges:
-                        step[meet] = before        # the piece before the cut still decides what may follow
-        yield from self._path(text, step, done, len(text))
+                else:
+                    best.pop(end, None)
+            return
+        for end in range(first, last + 1):
+            top, at = best[end - 1] + self.floor, end - 1
+            for begin in range(max(done, end - longest), end):
+                k = ids.get(text[begin:end])
+                if k is not None and best[begin] + score[k] > top:
+                    top, at = best[begin] + score[k], begin
+            best[end], step[end] = top, at
+
+    def short_words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of sorted words: a word goes on from the paths it shares with the one before it."""
+        best: dict[int, float] = {0: 0.0}
+        step: dict[int, int] = {}
+        last = ""
+        for word in words:
+            same, most = 0, min(len(word), len(last))
+            while same < most and word[same] == last[same]:
+                same += 1
+            self._extend(word, same + 1, len(word), 0, best, step)
+            last = word
+            yield list(self._ids(self._path(word, step, 0, len(word))))
 
     @staticmethod
     def _path(text: str, step: dict[int, int], done: int, end: int) -> list[str]:
@@ -202,10 +228,6 @@ class Encoder:
                     return done
         return done if meet is None else meet
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a word that carries its space marks."""
-        return list(self._ids(self.stream(word)))
-
     def _ids(self, path: Iterator[str]) -> Iterator[int]:
         v, unknown = self.v, False
         for piece in path:
@@ -242,19 +264,20 @@ class Encoder:
         code[leads] ^= np.uint64(0x94D049BB133111EB)
         _, at, which = np.unique(code, return_index=True, return_inverse=True)
         raw, mark = s.buf.tobytes(), SPACE.encode() if self.v.prefix else b""
-        found = []
-        for b, e, lead in zip(begin[at].tolist(), end[at].tolist(), leads[at].tolist(), strict=True):
-            word = mark + raw[b:e] if lead else raw[b:e]
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.encode_word(word.decode().replace(" ", SPACE))
-                if e - b <= 64:
-                    if len(self.words) >= CACHE_WORDS:
-                        self.words.pop(next(iter(self.words)))
-                    self.words[word] = ids
-            found.append(ids)
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((k for x in found for k in x), np.int32, int(size.sum()))
+        spelled = [mark + raw[b:e] if lead else raw[b:e]
+                   for b, e, lead in zip(begin[at].tolist(), end[at].tolist(), leads[at].tolist(), strict=True)]
+        found = [self.words.get(word) for word in spelled]
+        new = sorted((spelled[i].decode().replace(" ", SPACE), i) for i, ids in enumerate(found) if ids is None)
+        short = [(word, i) for word, i in new if len(word) <= SHORT_WORD]
+        for (_, i), ids in zip(short, self.short_words([word for word, _ in short]), strict=True):
+            if len(self.words) >= CACHE_WORDS:
+                self.words.pop(next(iter(self.words)))
+            found[i] = self.words[spelled[i]] = np.array(ids, np.int32).tobytes()
+        for word, i in new:
+            if len(word) > SHORT_WORD:
+                found[i] = np.fromiter(self._ids(self.stream(word)), np.int32).tobytes()
+        size = np.array([len(x) for x in found], np.int64) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         bounds = np.concatenate([[0], np.cumsum(size[which])])
         row = np.searchsorted(begin, s.start), np.searchsorted(begin, s.end)
         return gather(flat, (np.cumsum(size) - size)[which], size[which]), bounds[np.append(row[0], row[1][-1:])]
@@ -289,6 +312,17 @@ class Decoder:
         return self.decode_rows(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, number: int) -> Encoder:
+    """The worker's encoder for a broadcast vocabulary; what it remembers serves the next task too."""
+    if number not in _encoders:
+        _encoders.clear()
+        _encoders[number] = Encoder(vocabulary)
+    return _encoders[number]
+
+
 def encode_notices(notices: DataFrame, model_path: str, text: str = TEXT, ids: str = "piece_ids") -> DataFrame:
     """Adds the piece ids of every whole text, as the model's own library gives them, without added marks.
 
@@ -298,10 +332,11 @@ def encode_notices(notices: DataFrame, model_path: str, text: str = TEXT, ids: s
     the slice or by one longer text; nothing is shuffled.
     """
     kept = [f for f in notices.schema.fields if f.name != ids]
-    sent = notices.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
+    vocabulary = load_vocabulary(model_path)
+    sent, number = notices.sparkSession.sparkContext.broadcast(vocabulary), zlib.crc32(repr(vocabulary.text).encode())
 
     def encode(batches):
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value, number)
         for s in kernel.slices(batches, text):
             flat, bounds = encoder.encode_slice(s)
             column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
