@@ -81,7 +81,7 @@ def prefix_length(size: int, threshold: int) -> int:
 
     A partner at ``threshold`` percent shares at least ``ceil(threshold * size / 100)`` tokens.
     """
-    return size + (threshold * size + 99) // -100 + 1
+    return size - (threshold * size + 99) // 100 + 1
 
 
 def adaptive_prefix(tokens: np.ndarray, levels: np.ndarray, threshold: int,
