@@ -60,7 +60,7 @@ class _Items:
     """Items of one broadcast: shingle lookup and a multi-index per window length."""
 
     def __init__(self, ids: list, texts: list[str]):
-        s = next(kernel.slices([_lowered(pa.record_batch([pa.array(texts, pa.large_string())], ["t"]), "t")], "t", 1 << 62))
+        s = kernel.from_texts(pc.utf8_lower(pa.array(texts, pa.large_string())).to_pylist())
         hashes, begin = _words(s)
         self.ids, self.size, self.shingles = [], [], []
         for key, a, b in zip(ids, *kernel.row_bounds(s, begin), strict=True):
