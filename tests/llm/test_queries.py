@@ -1,0 +1,43 @@
+"""Registered queries against their SQL, and the pipeline against its stages' rules."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from docketlake.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    result = duck.execute(ORACLES[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(got.columns)
+    want = sorted(map(str, result.fetchall()))
+    assert want == sorted(str(tuple(r)) for r in got.select(*names).collect())
+
+
+def test_every_operator_has_a_query():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_pipeline(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    ids = {r.doc_id for r in out}
+    good = [k for k, q in labels.items() if q == 1]
+    assert len(ids) == len(out) and all(r.round_trip for r in out)
+    assert ids < {r.doc_id for r in documents.collect()}
+    assert sum(k in ids for k in good) > 0.7 * len(good)
+    assert sum(k in ids for k, q in labels.items() if q == 0) <= 0.5 * sum(q == 0 for q in labels.values())
