@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketlake.llm.notices import KEY, TEXT
+from docketlake.llm.notices import KEY, TEXT, labelled_sample
 
 FIT_ROWS = 3_000        # labelled notices per label that the model is fitted on, at most
 FIT_BYTES = 24 << 20    # text of those notices, at most
@@ -83,23 +83,14 @@ def fit_quality(notices: DataFrame, labels: DataFrame, key: str = KEY, text: str
                 learn: Column | None = None, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> QualityModel:
     """Fit on at most ``rows`` labelled notices of each label and ``max_bytes`` of text, chosen by a hash of the key.
 
-    ``learn`` says which rows may be learned from.  Two thirds build the dictionaries, the rest
+    ``learn`` is a condition on the key: which labels may be learned from.  Two thirds build the dictionaries, the rest
     calibrates the score.  Texts of over ``8 * max_bytes / rows`` bytes are scored but not
     learned from.  With one label missing, the model is constant at the label there is
     (0.5 without any label).  Notices without label, key or text are not learned from.
     """
-    chosen = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")) \
-        .where("_key IS NOT NULL AND _label IN (0, 1)").dropDuplicates(["_key"])
-    known = notices.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
-                           (learn if learn is not None else F.lit(True)).alias("_learn"))
-    longest = 8 * max_bytes // max(rows, 1)
-    pool = known.where("_learn AND _key IS NOT NULL").where(F.octet_length("_text").between(1, longest)).join(chosen, "_key")
-    order = F.xxhash64(F.col("_key").cast("string"))
-    picked = []
-    for value in (0, 1):
-        found = pool.where(F.col("_label") == value).orderBy(order, "_key").limit(rows).select("_text").collect()
-        picked.append(_within([r[0].encode() for r in found], max_bytes // 2))
-    bad, good = picked
+    found = labelled_sample(notices, labels, key, label, rows, learn, 8 * max_bytes // max(rows, 1), text) \
+        .orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").select("_label", text).collect()
+    bad, good = (_within([r[1].encode() for r in found if r[0] == value], max_bytes // 2) for value in (0, 1))
     if not good or not bad:
         return QualityModel(b"", b"", (0.0, 0.0, 0.0 if not good and not bad else 8.0 if good else -8.0))
     if min(len(good), len(bad)) < 3:

@@ -107,9 +107,9 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = rules.text_statistics(_notices(spark, sf_dir))
-    learned = rules.fit_rules(stats, _labels(spark, sf_dir))
-    return rules.apply_rules(stats, learned).select(
+    notices = _notices(spark, sf_dir)
+    learned = rules.fit_rules(notices, _labels(spark, sf_dir))
+    return rules.apply_rules(rules.text_statistics(notices), learned).select(
         F.col("hash").alias("doc_id"), *rules.STATISTICS, "base_failed", "kept")
 
 

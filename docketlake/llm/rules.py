@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm import kernel
-from docketlake.llm.notices import KEY, TEXT
+from docketlake.llm.notices import KEY, TEXT, labelled_sample
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("n_symbols", "n_dup_lines", "n_repeat_words", "word_chars")
-FIT_ROWS = 20_000      # labelled notices the list is learned from, at most
+FIT_ROWS = 10_000      # notices of each label the list is learned from, at most
 MIN_COVER = 5          # notices a rule must cover when it is grown
+MIN_WORTH = 0.8        # a rule must reach this (p - n) / (p + n) on the pruning rows
 MAX_RULES = 16
 MAX_TERMS = 4
 CUTS = 64              # candidate thresholds of a statistic
@@ -129,7 +130,7 @@ def learn_list(data: np.ndarray, bad: np.ndarray) -> DecisionList:
 
     A rule grows term by term by information gain on two thirds of the rows and loses its
     last terms while that does not lower ``(p - n) / (p + n)`` on the other third.  Learning
-    ends when a rule covers more good than bad notices there, or finds none.
+    ends when a rule does not reach ``MIN_WORTH`` there, or covers none.
     """
     columns, rules = _columns(data), []
     part = np.arange(len(bad)) % 3 == 2
@@ -146,7 +147,7 @@ def learn_list(data: np.ndarray, bad: np.ndarray) -> DecisionList:
             break
         worth = [_worth(columns, bad, rule[:k], prune) for k in range(1, len(rule) + 1)]
         rule = rule[: int(np.argmax(worth)) + 1]
-        if max(worth) <= 0.5:
+        if max(worth) <= MIN_WORTH:
             break
         rules.append(tuple(rule))
         grow, prune = (at[~_covers(columns, rule, at)] for at in (grow, prune))
@@ -188,17 +189,16 @@ def _best_term(columns, bad, at: np.ndarray) -> Term | None:
     return best
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, key: str = KEY, label: str = "quality",
+def fit_rules(notices: DataFrame, labels: DataFrame, key: str = KEY, text: str = TEXT, label: str = "quality",
               rows: int = FIT_ROWS) -> DecisionList:
-    """Learn a list from the statistics of at most ``rows`` labelled notices, chosen by a hash of the key.
+    """Learn a list from the whole texts of at most ``rows`` notices of each label, chosen by a hash of the key.
 
     Label 0 is bad.  Without bad or without good notices the list is empty and rejects nothing.
     """
-    chosen = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")) \
-        .where("_key IS NOT NULL AND _label IN (0, 1)").dropDuplicates(["_key"])
-    sample = (stats.select(F.col(key).alias("_key"), *STATISTICS).join(chosen, "_key")
-              .orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(rows)
-              .select("_label", *STATISTICS).toPandas())
+    sample = text_statistics(labelled_sample(notices, labels, key, label, rows, text=text), text) \
+        .select("_key", "_label", *STATISTICS).toPandas()
+    # Growing and pruning rows are told apart by their place in a random but fixed order.
+    sample = sample.sort_values("_key").sample(frac=1.0, random_state=1)
     bad = sample["_label"].to_numpy() == 0
     if not bad.any() or bad.all():
         return DecisionList(())
