@@ -19,8 +19,8 @@ from docketlake.llm import kernel
 from docketlake.llm.notices import TEXT
 
 SPACE = "▁"        # the mark that stands for a space
-CACHE_WORDS = 600_000   # encoded words a worker remembers, at most; the oldest go first
-SHORT_WORD = 64         # characters up to which words share paths and are remembered
+PAIRS = 1_000_000       # pairs of pieces a worker remembers, at most
+SHORT_WORD = 64         # characters up to which words are searched together
 DECODE_ROWS = 500        # rows decoded at once
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the worst piece
 
@@ -69,14 +69,16 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Viterbi search over one vocabulary, with a bounded memory of encoded words."""
+    """Viterbi search over one vocabulary, with a bounded memory of which pieces may follow each other."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.floor = min(vocabulary.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[bytes, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
+        self.met, self.allowed = np.full(1, -1, np.int64), np.zeros(1, bool)
+        self.fresh: dict[int, bool] = {}
+        self.table = self._piece_table()
 
     # -- which step may follow which ---------------------------------------------------
 
@@ -109,7 +111,7 @@ class Encoder:
         """
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * CACHE_WORDS:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._border_holds(left, right)
         return known
@@ -185,18 +187,124 @@ class Encoder:
                     top, at = best[begin] + score[k], begin
             best[end], step[end] = top, at
 
-    def short_words(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of sorted words: a word goes on from the paths it shares with the one before it."""
-        best: dict[int, float] = {0: 0.0}
-        step: dict[int, int] = {}
-        last = ""
-        for word in words:
-            same, most = 0, min(len(word), len(last))
-            while same < most and word[same] == last[same]:
-                same += 1
-            self._extend(word, same + 1, len(word), 0, best, step)
-            last = word
-            yield list(self._ids(self._path(word, step, 0, len(word))))
+    def _codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of a text with the tables for hashing its spans."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        powers, inverse = kernel._tables(len(code) + 1)
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(kernel.mix(code.astype(np.uint64) + np.uint64(1)) * powers[: len(code)], dtype=np.uint64, out=sums[1:])
+        return code, sums, inverse
+
+    def _piece_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all pieces that can stand in a path, sorted, with their ids."""
+        own = [(p, i) for p, i in self.v.ids.items() if not self.v.merges or len(p) == 1 or self._halves(p)]
+        end = np.cumsum([len(p) for p, _ in own])
+        _, sums, inverse = self._codes("".join(p for p, _ in own))
+        begin = end - np.array([len(p) for p, _ in own])
+        code = kernel.mix((sums[end] - sums[begin]) * inverse[begin])
+        order = np.argsort(code)
+        return code[order], np.array([i for _, i in own], np.int64)[order]
+
+    def _may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_follows`` for arrays of ids, by a sorted table of the pairs met so far."""
+        size = len(self.v.text) + 1
+        key = left * size + right
+        at = np.minimum(np.searchsorted(self.met, key), len(self.met) - 1)
+        known = self.met[at] == key
+        out = known & self.allowed[at]
+        new = np.flatnonzero(~known)
+        if len(new):
+            keys, which = np.unique(key[new], return_inverse=True)
+            found = []
+            for k in keys.tolist():
+                ok = self.fresh.get(k)
+                if ok is None:
+                    x, y = divmod(k, size)
+                    # A character without a piece is part of no piece, so it never merges.
+                    ok = self.fresh[k] = size - 1 in (x, y) or self._border_holds(self.v.text[x], self.v.text[y])
+                found.append(ok)
+            out[new] = np.array(found)[which]
+        return out
+
+    def _remember(self) -> None:
+        if self.fresh:
+            keys = np.concatenate([self.met if len(self.met) < PAIRS else self.met[:1], np.array(list(self.fresh), np.int64)])
+            allowed = np.concatenate([self.allowed if len(self.met) < PAIRS else self.allowed[:1], np.array(list(self.fresh.values()), bool)])
+            order = np.argsort(keys)
+            self.met, self.allowed = keys[order], allowed[order]
+            self.fresh = {}
+
+    def short_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short words at once, end to end, and how many each word has.
+
+        The same search as ``stream``, one boundary of all words at a time.  A word is its own
+        window here, so nothing has to be given out before its end.
+        """
+        v, none = self.v, len(self.v.text)
+        code, sums, inverse = self._codes("".join(words))
+        size = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(size) - size
+        piece, begin = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
+        best = np.full(len(code), -np.inf)
+        score = np.append([v.score.get(i, 0.0) for i in range(none)], self.floor)
+        hashes, ids = self.table
+        for end in range(1, int(size.max(initial=0)) + 1):
+            first = start[size >= end]
+            last = first + end - 1
+            open_ = np.ones(len(first), bool)
+            for width in range(min(end, v.longest), 0, -1):
+                rows = np.flatnonzero(open_) if v.merges else np.arange(len(first))
+                low = last[rows] - width + 1
+                want = kernel.mix((sums[last[rows] + 1] - sums[low]) * inverse[low])
+                at = np.minimum(np.searchsorted(hashes, want), len(hashes) - 1)
+                found = np.where(hashes[at] == want, ids[at], none if width == 1 else -1)
+                inner = low > first[rows]
+                left = np.where(inner, piece[low - 1], -1)
+                fits = (found >= 0) & (~inner | (left >= 0))
+                if v.merges:
+                    check = np.flatnonzero(fits & inner)
+                    fits[check] = self._may_follow(left[check], found[check])
+                    gain = np.zeros(len(rows))
+                else:
+                    gain = np.where(inner, best[low - 1], 0.0) + score[found]
+                    fits &= gain > best[last[rows]]
+                rows, to = rows[fits], last[rows[fits]]
+                piece[to], begin[to], best[to] = found[fits], low[fits], gain[fits]
+                open_[rows] = False
+        self._remember()
+        # Follow all paths back at once.
+        owner, step, ids_out = [], [], []
+        at, word, turn = start + size - 1, np.flatnonzero(size > 0), 0
+        at = at[word]
+        while len(at):
+            k = piece[at]
+            owner.append(word)
+            step.append(np.full(len(word), -turn))
+            ids_out.append(np.where(k == none, -1 - code[begin[at]].astype(np.int64), k))
+            at = begin[at] - 1
+            go = at >= start[word]
+            at, word, turn = at[go], word[go], turn + 1
+        if not owner:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        owner, step, flat = (np.concatenate(x) for x in (owner, step, ids_out))
+        order = np.lexsort((step, owner))
+        owner, flat = owner[order], flat[order]
+        lost = np.flatnonzero(flat < 0)
+        if len(lost):
+            # Characters without a piece become their bytes, or one unknown id for neighbours.
+            if v.byte_ids:
+                spelled = [[v.byte_ids[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in flat[lost].tolist()]
+            else:
+                after = (lost > 0) & (flat[lost - 1] < 0) & (owner[lost - 1] == owner[lost])
+                spelled = [[] if a else [v.unknown] for a in after.tolist()]
+            count = np.ones(len(flat), np.int64)
+            count[lost] = [len(x) for x in spelled]
+            bounds = np.cumsum(count) - count
+            out = np.repeat(flat, count)
+            for at_, x in zip(bounds[lost].tolist(), spelled, strict=True):
+                out[at_: at_ + len(x)] = x
+            flat, owner = out, np.repeat(owner, count)
+        return flat.astype(np.int32), np.bincount(owner, minlength=len(words))
 
     @staticmethod
     def _path(text: str, step: dict[int, int], done: int, end: int) -> list[str]:
@@ -244,7 +352,7 @@ class Encoder:
         """Ids of all rows in one array, with the bounds of each row.
 
         Rows are cut where every path has a boundary: before the spaces that follow a word.
-        Each distinct word of the slice is searched once, or found among those remembered.
+        Each distinct word of the slice is searched once.
         """
         space = s.buf == 0x20
         cut = np.zeros(len(s.buf), bool)
@@ -266,21 +374,21 @@ class Encoder:
         raw, mark = s.buf.tobytes(), SPACE.encode() if self.v.prefix else b""
         spelled = [mark + raw[b:e] if lead else raw[b:e]
                    for b, e, lead in zip(begin[at].tolist(), end[at].tolist(), leads[at].tolist(), strict=True)]
-        found = [self.words.get(word) for word in spelled]
-        new = sorted((spelled[i].decode().replace(" ", SPACE), i) for i, ids in enumerate(found) if ids is None)
-        short = [(word, i) for word, i in new if len(word) <= SHORT_WORD]
-        for (_, i), ids in zip(short, self.short_words([word for word, _ in short]), strict=True):
-            if len(self.words) >= CACHE_WORDS:
-                self.words.pop(next(iter(self.words)))
-            found[i] = self.words[spelled[i]] = np.array(ids, np.int32).tobytes()
-        for word, i in new:
-            if len(word) > SHORT_WORD:
-                found[i] = np.fromiter(self._ids(self.stream(word)), np.int32).tobytes()
-        size = np.array([len(x) for x in found], np.int64) // 4
-        flat = np.frombuffer(b"".join(found), np.int32)
+        words = [word.decode().replace(" ", SPACE) for word in spelled]
+        long = [i for i, word in enumerate(words) if len(word) > SHORT_WORD]
+        flat, size = self.short_words(["" if len(word) > SHORT_WORD else word for word in words])
+        for i in long:
+            ids = np.fromiter(self._ids(self.stream(words[i])), np.int32)
+            flat, size[i] = np.concatenate([flat, ids]), len(ids)
+        begin_of = np.cumsum(size) - size
+        if long:
+            short = size.copy()
+            short[long] = 0
+            begin_of = np.cumsum(short) - short
+            begin_of[long] = len(flat) - np.cumsum(size[long][::-1])[::-1]
         bounds = np.concatenate([[0], np.cumsum(size[which])])
         row = np.searchsorted(begin, s.start), np.searchsorted(begin, s.end)
-        return gather(flat, (np.cumsum(size) - size)[which], size[which]), bounds[np.append(row[0], row[1][-1:])]
+        return gather(flat, begin_of[which], size[which]), bounds[np.append(row[0], row[1][-1:])]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_slice(kernel.from_texts([text]))[0].tolist()
