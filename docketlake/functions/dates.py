@@ -24,6 +24,9 @@ _MDY = rf"(?i)\b{_MON}\.?[-\s]+(\d{{1,2}})(?:st|nd|rd|th)?[-,\s]+'?(\d{{4}}|\d{{
 _MY = rf"(?i)\b{_MON}\.?[-,\s]+(\d{{4}})(?!\d)"
 _NUM_MY = r"(?<![\d/.-])(\d{1,2})[-/.](\d{4})(?!\d)"
 
+# All shapes at once: the first date in reading order, whatever its shape.
+_ANY = "|".join(f"(?:{p})" for p in (_YMD, _NUM, _MDY, _DMY, _MY, _NUM_MY))
+
 _SHAPE_HINT = r"(?i)\d[-/.]\d|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
@@ -95,11 +98,11 @@ def parse_date(
     dayfirst: bool = False,
     unicode: str = "jvm",
 ) -> Column:
-    """First plausible date in a text cell, NULL when there is none.
+    """The first date in reading order in a text cell, NULL when there is none or it is not plausible.
 
     Texts without any year are NULL.
     """
-    text = clean_text(c, 120, unicode)
+    text = clean_text(c, unicode=unicode)
     text = F.regexp_replace(text, r"(?i)^(mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)[a-z]*[,\s]+", "")
     text = F.regexp_replace(text, r"(?i)\b\d{1,2}:\d{2}(:\d{2})?\s*(am|pm)?\b.*$", "")
     text = F.regexp_replace(text, r"^[ ,;]+|[ ,;]+$", "")
@@ -107,13 +110,15 @@ def parse_date(
 
 
 def _date_in(text: Column, now: Column, dayfirst: bool) -> Column:
+    first = F.regexp_extract(text, _ANY, 0)
+
     def parts(pattern: str) -> Column:
         # All groups of the leftmost match in one pass: "a/b/c" or the text itself.
         groups = 2 if pattern in (_MY, _NUM_MY) else 3
         marks = "\x01".join(f"${i + 1}" for i in range(groups))
         flags = "(?i)" if pattern.startswith("(?i)") else ""
         body = pattern.removeprefix("(?i)")
-        return F.split(F.regexp_replace(text, f"{flags}^.*?{body}.*$", marks), "\x01")
+        return F.split(F.regexp_replace(first, f"{flags}^{body}$", marks), "\x01")
 
     def shape(pattern: str, build: Callable[[Column], Column]) -> Column:
         return let(parts(pattern), lambda p: F.when(F.size(p) > 1, build(p)))

@@ -149,8 +149,8 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(visible, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def clean_text(c: Column | str, max_length: int = 500, unicode: str = "jvm") -> Column:
-    """Normalised text, or NULL for a placeholder.
+def clean_text(c: Column | str, max_length: int | None = None, unicode: str = "jvm") -> Column:
+    """Normalised text, or NULL for a placeholder; cut only where a ``max_length`` is given.
 
     ``unicode``: ``jvm`` folds inside the JVM, ``exact`` goes through a vectorised
     NFKC for non-ASCII rows, ``done`` trusts an earlier normalisation.
@@ -161,7 +161,8 @@ def clean_text(c: Column | str, max_length: int = 500, unicode: str = "jvm") ->
     elif unicode == "jvm":
         c = fold_unicode(c)
     text = squeeze(c)
-    return F.when(~F.lower(text).isin(*vocab.PLACEHOLDERS), F.substring(text, 1, max_length))
+    kept = text if max_length is None else F.substring(text, 1, max_length)
+    return F.when(~F.lower(text).isin(*vocab.PLACEHOLDERS), kept)
 
 
 def employer_key(c: Column | str) -> Column:
@@ -179,7 +180,7 @@ def employer_key(c: Column | str) -> Column:
 
 def clean_zip(c: Column | str, unicode: str = "jvm") -> Column:
     """First five-digit code, leading zeros kept."""
-    text = clean_text(c, 20, unicode)
+    text = clean_text(c, unicode=unicode)
     return F.nullif(F.regexp_extract(text, r"\b(\d{5})(?:-\d{4})?\b", 1), F.lit(""))
 
 

@@ -73,28 +73,34 @@ def panel_records(panels: DataFrame, as_of: dt.date | str, state: str) -> DataFr
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, chunk: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Sequence[str], out: str | Sequence[str],
+    chunk: Column
 ) -> DataFrame:
-    """Last non-null ``value`` up to each row, safe for one huge key.
+    """Last non-null ``value`` up to each row, safe for one huge key; several values in one pass.
 
     ``chunk`` must not decrease along ``order``.  Each (key, chunk) is a window of
     its own; only one carried value per chunk crosses between chunks.
     """
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
     df = df.withColumn("_chunk", chunk)
     place = F.struct(*order)
-    ends = df.groupBy(*keys, "_chunk").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), place)).alias("_end")
-    )
+    ends = df.groupBy(*keys, "_chunk").agg(*[
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), place)).alias(f"_end{i}") for i, v in enumerate(values)
+    ])
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    ends = ends.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate([*keys, "_chunk"])],
+        *[F.last(f"_end{i}", ignorenulls=True).over(earlier).alias(f"_carry{i}") for i in range(len(values))],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate([*keys, "_chunk"])]
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return (
-        df.join(ends, [*keys, "_chunk"])
-        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry")))
-        .drop("_chunk", "_carry")
-    )
+    filled = df.join(ends, same).withColumns({
+        o: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_carry{i}"))
+        for i, (v, o) in enumerate(zip(values, outs, strict=True))
+    })
+    return filled.drop("_chunk", *[f"_key{i}" for i in range(len(keys) + 1)], *[f"_carry{i}" for i in range(len(values))])
 
 
 def heading_context(blocks: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
@@ -112,8 +118,7 @@ def heading_context(blocks: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
         "_month": F.when(is_year, F.lit(0)).otherwise(month),
     })
     chunk = F.floor(F.col("pos") / chunk_rows)
-    marked = carry_forward(marked, ["doc_id"], ["pos"], "_year", "year", chunk)
-    marked = carry_forward(marked, ["doc_id"], ["pos"], "_month", "month", chunk)
+    marked = carry_forward(marked, ["doc_id"], ["pos"], ["_year", "_month"], ["year", "month"], chunk)
     return marked.withColumn("month", F.nullif(F.col("month"), F.lit(0))).drop("_year", "_month")
 
 

@@ -273,23 +273,6 @@ def keep_frames(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen.select(*FRAME_KEY), FRAME_KEY, "left_semi")
 
 
-def merge_web_frames(stats: DataFrame) -> DataFrame:
-    """Frames of the best mapped-field signature, one group per document."""
-    groups = stats.groupBy("doc_id", "fields").agg(
-        F.sum("score").alias("sum_score"),
-        F.sum("n_rows").alias("sum_rows"),
-        F.min("frame_id").alias("first_frame"),
-        F.max("score").alias("best_score"),
-    )
-    order = Window.partitionBy("doc_id").orderBy(
-        F.desc("sum_score"), F.desc("sum_rows"), "first_frame"
-    )
-    best = groups.withColumn("place", F.row_number().over(order)).where(
-        "place = 1 and best_score > 0"
-    )
-    return stats.join(best.select("doc_id", "fields"), ["doc_id", "fields"], "left_semi")
-
-
 def merge_file_frames(stats: DataFrame) -> DataFrame:
     """Frames sharing the best frame's header signature; needs an employer column."""
     usable = stats.where(F.array_contains("fields", "employer")).withColumn(
@@ -299,14 +282,6 @@ def merge_file_frames(stats: DataFrame) -> DataFrame:
     return usable.join(best, ["doc_id", "signature"], "left_semi")
 
 
-def best_by_yield(stats: DataFrame, records: DataFrame, n: int = 3) -> DataFrame:
-    """Of the top frames, the one whose rows gave the most usable records."""
-    yields = records.groupBy(*FRAME_KEY).agg(F.count("*").alias("n_records"))
-    ranked = top_frames(stats, n, 1e-9).join(yields, FRAME_KEY)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n_records"), "place")
-    return ranked.withColumn("pick", F.row_number().over(order)).where("pick = 1").drop("pick")
-
-
 def stitch_by_width(grid: DataFrame) -> DataFrame:
     """Join frames of equal width into one per document and width.
 

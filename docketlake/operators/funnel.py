@@ -88,11 +88,13 @@ def build_records(
     dayfirst: bool = False,
     defaults: Mapping[str, object] | None = None,
     keep: Sequence[str] = ("doc_id", "frame_id", "row_ix"),
+    caps: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Canonical records with a ``verdict``: ``ok``, ``junk`` or ``unusable``.
 
     Frames without an employer column yield nothing.  Every parser is a ``try``
-    form, so a bad row can only lose a field or be rejected, never fail the job.
+    form, so a bad row can only lose a field or be rejected, never fail the job.  Texts
+    are kept whole unless ``caps`` names a longest length for a field.
     """
     nums = "nums" in rows.columns
     keep = [c for c in keep if c in rows.columns]
@@ -118,7 +120,8 @@ def build_records(
     )
 
     def text(name: str) -> Column:
-        return F.substring(F.element_at("v", name), 1, vocab.TEXT_CAPS[name])
+        value = F.element_at("v", name)
+        return F.substring(value, 1, caps[name]) if caps and name in caps else value
 
     def number(name: str) -> Column:
         return F.element_at("num", name)
@@ -149,7 +152,7 @@ def build_records(
         [*keep, F.col("_state").alias("state"), F.col("_source").alias("source_name"),
          F.col("_url").alias("source_url"), "raw", "_repeat"],
     )
-    long_city = F.substring("_city", 1, 300)
+    long_city = F.col("_city")
     whole = is_full_address(long_city)
     placed = typed.withColumns({
         **{n: F.get("_dates", F.lit(i)) for i, n in enumerate(vocab.DATE_FIELDS)},

@@ -103,11 +103,11 @@ def export_rows(
     ).select(*columns)
 
 
-def search_export(df: DataFrame, cap: int = vocab.SEARCH_EXPORT_CAP, tie: str = "hash", **filters) -> DataFrame:
-    """Export of a search: the report's ten columns and its row limit."""
-    return page_of(search_filter(df, **filters), sort_order("notice_date_desc", tie), 1, cap).select(
-        *vocab.SEARCH_EXPORT_FIELDS
-    )
+def search_export(df: DataFrame, cap: int | None = None, tie: str = "hash", **filters) -> DataFrame:
+    """Export of a search: the report's ten columns, all rows or the first ``cap``."""
+    found, order = search_filter(df, **filters), sort_order("notice_date_desc", tie)
+    rows = found.orderBy(*order) if cap is None else page_of(found, order, 1, cap)
+    return rows.select(*vocab.SEARCH_EXPORT_FIELDS)
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:

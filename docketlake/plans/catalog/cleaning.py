@@ -211,7 +211,7 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clean_text_exact", f"""
 WITH t AS (SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(text), '{_WS}', ' ', 'g')) AS cleaned FROM conversations)
-SELECT conv_id, turn, CASE WHEN cleaned <> '' THEN cleaned[1:500] END AS cleaned FROM t""")
+SELECT conv_id, turn, CASE WHEN cleaned <> '' THEN cleaned END AS cleaned FROM t""")
 def clean_texts_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", clean_text("text", unicode="exact").alias("cleaned")

@@ -245,9 +245,9 @@ WITH f AS (SELECT o_orderkey AS k, o_orderkey // {LINK_ROWS} AS doc_id, year(o_o
   CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 2 = 0 THEN cast(o_orderdate AS DATE)
     ELSE make_date(year(o_orderdate) + 20, month(o_orderdate), 1) END AS day FROM orders WHERE o_orderkey % 5 IN (3, 4))
 SELECT doc_id, employer, cast(day AS VARCHAR) AS notice_date FROM (
-  SELECT *, row_number() OVER (PARTITION BY lower(employer), day ORDER BY doc_id, k) AS nth FROM f) WHERE nth = 1""")
+  SELECT *, row_number() OVER (PARTITION BY doc_id, lower(employer), day ORDER BY k) AS nth FROM f) WHERE nth = 1""")
 def link_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = links.filings_from_links(_found(spark, sf_dir, context=True), AS_OF)
+    out = links.filings_from_links(_found(spark, sf_dir, context=True), AS_OF, ("doc_id",))
     return out.select("doc_id", "employer", F.col("notice_date").cast("string").alias("notice_date"))
 
 

@@ -229,7 +229,7 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_export", with_filings("""
 SELECT state, employer, city, county, cast(notice_date AS VARCHAR) AS notice_date,
   cast(effective_date AS VARCHAR) AS effective_date, employees, notice_type, industry, source_url
-FROM filings WHERE state = 'CO' ORDER BY filings.notice_date DESC NULLS LAST, hash LIMIT 5000"""))
+FROM filings WHERE state = 'CO' ORDER BY filings.notice_date DESC NULLS LAST, hash"""))
 def search_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.search_export(filings(spark, sf_dir), state="co")
     return out.withColumns({c: F.col(c).cast("string") for c in ("notice_date", "effective_date")})

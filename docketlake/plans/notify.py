@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlake import vocab
 from docketlake.operators.matching import digest, new_matches
+from docketlake.sources.tables import stored
 
 
 def alert_cycle(
@@ -18,8 +19,11 @@ def alert_cycle(
     now: dt.datetime | str,
     lookback_hours: float = vocab.LOOKBACK_HOURS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(messages, ledger_rows)``; append the ledger rows once messages are written."""
-    found = new_matches(notices, subs, ledger, now, lookback_hours)
+    """``(messages, ledger_rows)``; append the ledger rows once messages are written.
+
+    Matches are computed once and stored; totals, lines and ledger rows read them back.
+    """
+    found = stored(new_matches(notices, subs, ledger, now, lookback_hours), "matches")
     messages = digest(found).join(
         subs.select(F.col("id").alias("subscription_id"), "email", "unsubscribe_token"), "subscription_id"
     )

@@ -30,13 +30,14 @@ def _span(value: str | None, top: int) -> int:
     return max(1, min(int(digits), top)) if digits.isdigit() else 1
 
 
-# Comments, script and style bodies, or one tag with its attributes.
+# Comments, script and style bodies, or one tag with its attributes.  A quote only opens
+# a value right after "=", so an apostrophe in a bare value is a character like others.
 _TAG = re.compile(
     r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -92,30 +93,25 @@ def _tables(page: str) -> list[list[dict]]:
 
 
 def _rectangle(rows: list[dict]) -> Iterator[tuple[list[str], str | None]]:
-    """Spread col- and rowspans; blank rows are skipped."""
-    hanging: dict[int, tuple[int, str]] = {}
-    for row in rows:
-        line: list[str] = []
-
-        def drop_in() -> None:
-            while len(line) in hanging:
-                left, text = hanging.pop(len(line))
-                if left > 1:
-                    kept[len(line)] = (left - 1, text)
-                line.append(text)
-
-        kept: dict[int, tuple[int, str]] = {}
-        drop_in()
+    """Grid rows by the table model: a cell takes the next free columns, and those below it for its span.
+
+    ``taken`` maps (row, column) to the text that fills it.  A row ends at its first free
+    column; blank rows are skipped.
+    """
+    taken: dict[tuple[int, int], str] = {}
+    for r, row in enumerate(rows):
+        column = 0
         for cell in row["cells"]:
             text = " ".join(html.unescape(" ".join(cell["text"])).split())
             if not text.isascii():
                 text = unicodedata.normalize("NFKC", text)
             for _ in range(cell["cols"]):
-                if cell["rows"] > 1:
-                    kept[len(line)] = (cell["rows"] - 1, text)
-                line.append(text)
-                drop_in()
-        hanging = {**hanging, **kept}
+                while (r, column) in taken:
+                    column += 1
+                taken.update(((below, column), text) for below in range(r, r + cell["rows"]))
+        line = []
+        while (r, len(line)) in taken:
+            line.append(taken.pop((r, len(line))))
         if any(c.strip() for c in line):
             yield line, row["link"]
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketlake.session import work_dir
+
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -78,6 +80,13 @@ def write_snapshot(df: DataFrame, path: str, version: int, partition: str = "sta
     return target
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared work folder and read it back, so that it is computed once."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, batch_id: int) -> None:
     """Append one batch; a replayed batch replaces its own folder."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

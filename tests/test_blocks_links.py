@@ -70,7 +70,7 @@ def test_filings_beside_links(spark):
             '<li><a href="/d/2026/08/warn-c.pdf">Gamma <b>Mill</b></a></li><li><a href="/guide-warn.pdf">Employer guide</a></li>'
             '<li><a href="/d/2026/08/warn-c2.pdf">GAMMA MILL</a></li></ul>')
     page = spark.createDataFrame([("p", "https://h.org/x", html)], "doc_id string, url string, html string")
-    got = sorted((r.employer, r.notice_date) for r in links.filings_from_links(links.anchors(page, context=True), AS_OF).collect())
+    got = sorted((r.employer, r.notice_date) for r in links.filings_from_links(links.anchors(page, context=True), AS_OF, ("doc_id",)).collect())
     assert got == [("Beta Works", date(2025, 11, 2)), ("Gamma Mill", date(2026, 8, 1)), ("Nilfisk Inc", date(2025, 12, 10))]
 
 
@@ -112,3 +112,10 @@ def test_periods_and_registry(spark):
     got = records_from_sources(landed, AS_OF).collect()
     del HANDLERS["ZZ"]
     assert sorted((r.doc_id, r.employer, r.employees) for r in got) == [("p", "Acme", 5), ("q", "own", 10)]
+
+
+def test_carry_forward_keeps_null_keys_and_carries_several_values(spark):
+    df = spark.createDataFrame([(None, 0, 1, None), (None, 1, None, 5), ("k", 0, None, 7), ("k", 9, 3, None)], "k string, pos int, v int, w int")
+    out = blocks.carry_forward(df, ["k"], ["pos"], ["v", "w"], ["last_v", "last_w"], F.floor(F.col("pos") / 2))
+    assert sorted(((r.k, r.pos, r.last_v, r.last_w) for r in out.collect()), key=str) == sorted(
+        [(None, 0, 1, None), (None, 1, 1, 5), ("k", 0, None, 7), ("k", 9, 3, 7)], key=str)

@@ -121,4 +121,15 @@ def test_no_python_in_the_default_cleaners(spark):
         text.clean_text("v"), text.employer_key("v"), dates.parse_date("v", AS_OF), numbers.parse_count("v"),
         category.classify_type("v"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
-    assert F.lit(1) is not None
+
+
+def test_first_date_in_reading_order_wins(cells):
+    as_of = "2026-06-01"
+    got = cells(lambda c: dates.parse_date(c, as_of), [
+        "March 14, 2024 - 5/1/2024", "14 March 2024 through 2024-06-01", "2024-06-01 to March 14, 2024", "x" * 300 + " 5/1/2024"])
+    assert [str(d) for d in got] == ["2024-03-14", "2024-03-14", "2024-06-01", "2024-05-01"]
+
+
+def test_texts_are_cut_only_on_request(cells):
+    assert cells(text.clean_text, ["a" * 2000]) == ["a" * 2000]
+    assert cells(lambda c: text.clean_text(c, 5), ["a" * 2000]) == ["aaaaa"]

@@ -85,8 +85,8 @@ def test_cycle_lookback_and_ledger(spark):
     messages, booked = alert_cycle(notice(spark, *rows), people, ledger, "2024-06-02 00:00:00")
     assert [tuple(r)[:2] for r in booked.collect()] == [(1, "new")]
     msg = messages.first()
-    assert msg.subject == "Alert: 1 new layoff notice" and msg.email == "a@b"
-    assert msg.body == ("1 new notice matched your alert:\n\n  - Acme Corp | Ode | MD | 1,234 workers | 2024-05-30\n    http://u")
+    assert msg.subject == "1 filing for your watch list" and msg.email == "a@b"
+    assert msg.body == "* Acme Corp (Ode, MD), filed 2024-05-30, 1,234 jobs <http://u>"
 
 
 def test_digest_gathers_only_the_listed_lines(spark):
@@ -96,7 +96,7 @@ def test_digest_gathers_only_the_listed_lines(spark):
     out = matching.digest(found)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     row = out.first()
-    assert row.n == 400 and row.body.count("  - ") == 25 and row.body.endswith("... and 375 more.")
+    assert row.n == 400 and row.body.count("* ") == 25 and row.body.endswith("(and 375 further filings)")
 
 
 def test_subscription_forms(spark):
