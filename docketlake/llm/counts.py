@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from docketlake.llm.notices import KEY, TEXT
 from docketlake.llm.store import saved
 
-FREQUENT = 1 << 20        # pre-tokens whose counts are broadcast, at most (some 15 MB, 130 MB as a table in a task)
+FREQUENT = 1 << 19        # pre-tokens whose counts are broadcast, at most (some 8 MB, 65 MB as a table in a task)
 FLUSH_WORDS = 200_000     # distinct pre-tokens a task holds before it hands them on
 BATCH_ROWS = 500          # texts cut at once
 
@@ -101,8 +101,8 @@ def pretoken_table(notices: DataFrame, rules: str, text: str = TEXT) -> DataFram
     return totals.mapInArrow(pieces, "word string, times long, n int")
 
 
-def frequent_words(table: DataFrame, most: int = FREQUENT) -> dict[str, int]:
-    """Piece counts of the most frequent pre-tokens, ``most`` or fewer.
+def frequent_words(table: DataFrame, most: int = FREQUENT) -> pa.Table:
+    """Piece counts of the most frequent pre-tokens (``word, n``), ``most`` or fewer.
 
     A histogram over the powers of two of the frequency gives the threshold, so only the chosen
     words reach the driver.
@@ -115,7 +115,7 @@ def frequent_words(table: DataFrame, most: int = FREQUENT) -> dict[str, int]:
         if total > most:
             break
         cut = k
-    return {r.word: r.n for r in table.where(level >= cut).select("word", "n").collect()}
+    return table.where(level >= cut).select("word", "n").toArrow()
 
 
 def count_tokens(notices: DataFrame, rules_path: str, key: str = KEY, text: str = TEXT, limit: int = 1024,
@@ -136,7 +136,8 @@ def count_tokens(notices: DataFrame, rules_path: str, key: str = KEY, text: str
     known = notices.sparkSession.sparkContext.broadcast((rules, frequent_words(table, frequent)))
 
     def local(batches):
-        own_rules, counts = known.value
+        own_rules, frequent_table = known.value
+        counts = dict(zip(frequent_table.column("word").to_pylist(), frequent_table.column("n").to_pylist(), strict=True))
         cut = PreTokenizer(own_rules)
         for batch in batches:
             for first in range(0, batch.num_rows, BATCH_ROWS):
