@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,27 +20,52 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def _parts(spark: SparkSession, path: str, before: int | None) -> dict[str, str]:
-    """Newest committed folder of each table part.
+PARTS = 64  # buckets of a stored table; a batch rewrites those it touches
 
-    A version counts once it holds Spark's own success marker.  The listing is one
-    entry per part and version, never per row or file.
+
+def part_of(*columns: Column | str) -> Column:
+    """Bucket of a row: a number, so that NULL and odd values need no folder name of their own."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, str, bool]]:
+    """``(number, key, folder, committed)`` of all versions; committed ones hold Spark's success marker.
+
+    One entry per version, never per row or file.
     """
     fs, root = _fs(spark, path)
     if not fs.exists(root):
-        return {}
+        return []
     jpath = spark._jvm.org.apache.hadoop.fs.Path
-    versions = sorted(
-        s.getPath().getName()
-        for s in fs.listStatus(root)
-        if s.getPath().getName().startswith("version=") and fs.exists(jpath(s.getPath(), "_SUCCESS"))
-    )
-    newest: dict[str, str] = {}
-    for version in versions:
-        if before is None or int(version.removeprefix("version=")) < before:
-            for part in fs.listStatus(jpath(root, version)):
-                if part.isDirectory() and "=" in part.getPath().getName():
-                    newest[part.getPath().getName()] = f"{path}/{version}/{part.getPath().getName()}"
+    found = []
+    for s in fs.listStatus(root):
+        name = s.getPath().getName()
+        if name.startswith("version="):
+            number, _, key = name.removeprefix("version=").partition(".")
+            found.append((int(number), key, f"{path}/{name}", fs.exists(jpath(s.getPath(), "_SUCCESS"))))
+    return sorted(found)
+
+
+def version_for(spark: SparkSession, path: str, key: str) -> int:
+    """Number of the version that a write with this replay key makes.
+
+    A replay gets the number it had before; anything else comes after all versions there are,
+    whatever stream or checkpoint wrote them.  One writer at a time.
+    """
+    known = _versions(spark, path)
+    return next((n for n, k, _, _ in known if k == key), max((n for n, *_ in known), default=0) + 1)
+
+
+def _parts(spark: SparkSession, path: str, before: int | None) -> dict[int, str]:
+    """Newest committed folder of each bucket."""
+    newest: dict[int, str] = {}
+    for number, _, folder, committed in _versions(spark, path):
+        if committed and (before is None or number < before):
+            fs, root = _fs(spark, folder)
+            for part in fs.listStatus(root):
+                name = part.getPath().getName()
+                if name.startswith("_part="):
+                    newest[int(name.removeprefix("_part="))] = f"{folder}/{name}"
     return newest
 
 
@@ -49,34 +74,35 @@ def read_snapshot(
     path: str,
     before: int | None = None,
     schema: T.StructType | None = None,
-    parts: Collection[str] | None = None,
+    parts: Collection[int] | None = None,
 ) -> DataFrame | None:
     """The table as of the newest committed version, or the newest below ``before``.
 
-    ``parts`` reads only those values of the partition column.
+    ``parts`` reads only those buckets.
     """
     newest = _parts(spark, path, before)
     if parts is not None:
-        newest = {k: v for k, v in newest.items() if k.split("=", 1)[1] in parts}
+        newest = {k: v for k, v in newest.items() if k in parts}
     if not newest:
         return None
-    reader = spark.read.option("basePath", path)
+    reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(*newest.values()).drop("version")
+    return reader.parquet(*newest.values())
 
 
-def write_snapshot(df: DataFrame, path: str, version: int, partition: str = "state",
+def write_snapshot(df: DataFrame, path: str, version: int, key: str = "", partition: str = "state",
                    sort: str = "notice_date") -> str:
-    """Write the rewritten parts of a table under a version number.
+    """Write the rewritten buckets of a table under a version number.
 
-    Parts a version does not hold stay in force from earlier ones, so a batch only
-    rewrites what it touches.  A lost job leaves the last version in force, and a
-    replay rewrites the same folder.  Rows stay in the tasks of the merge join,
-    which hashes by key, so one huge part has as many writers as there are tasks.
+    Buckets a version does not hold stay in force from earlier ones, so a batch only rewrites
+    what it touches.  A lost job leaves the last version in force, and a replay (same ``key``)
+    rewrites the same folder.  Rows stay in the tasks of the merge join, which hashes by key, so
+    one huge bucket has as many writers as there are tasks.
     """
-    target = f"{path}/version={version:010d}"
-    df.sortWithinPartitions(partition, sort).write.mode("overwrite").partitionBy(partition).parquet(target)
+    target = f"{path}/version={version:010d}.{key}"
+    df.withColumn("_part", part_of(partition)).sortWithinPartitions("_part", partition, sort) \
+        .write.mode("overwrite").partitionBy("_part").parquet(target)
     return target
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docketlake import vocab
 from docketlake.operators.merge import deactivate_missing, dedupe_batch, upsert, with_identity
-from docketlake.sources.tables import read_snapshot, write_snapshot
+from docketlake.sources.tables import part_of, read_snapshot, stored, version_for, write_snapshot
 
 
 def first_seen(stream: DataFrame, key: Sequence[str] = ("hash",)) -> DataFrame:
@@ -32,26 +33,30 @@ def merge_batch(
     now: dt.datetime | str | Column,
     order: Sequence[str],
     full_snapshot: bool = False,
+    stream: str = "batch",
 ) -> None:
-    """Upsert one micro-batch and commit it as version ``batch_id + 1``.
+    """Upsert one micro-batch and commit it as the table's next version.
 
-    Only the states present in the batch are read and rewritten; the list of states
-    is the partition list, not data.  The merge reads the newest version below its
-    own, so a replay after a lost driver computes the same result from the same
-    base.  With ``full_snapshot`` the batch is a whole listing of its states: what
-    is missing is retired, what returns becomes active again.
+    Only the buckets of the states in the batch are read and rewritten; their numbers are
+    all that reaches the driver.  The version comes from the table's own log, and
+    (``stream``, ``batch_id``) is its replay key: a replay after a lost driver reads the same
+    base and rewrites the same version, while another stream or a new checkpoint adds a new one.
+    The batch is evaluated once.  With ``full_snapshot`` the batch is a whole listing of its
+    states: what is missing is retired, what returns becomes active again.
     """
     spark = batch.sparkSession
-    incoming = dedupe_batch(with_identity(batch), order)
-    touched = {r.state for r in batch.select("state").distinct().collect()}
-    target = read_snapshot(spark, path, batch_id + 1, vocab.NOTICE_SCHEMA, touched)
+    replay = f"{stream}-{batch_id}"
+    version = version_for(spark, path, replay)
+    incoming = stored(dedupe_batch(with_identity(batch), order), "batch")
+    touched = {r[0] for r in incoming.select(part_of("state")).distinct().collect()}
+    columns = vocab.NOTICE_SCHEMA.names
+    target = read_snapshot(spark, path, version, vocab.NOTICE_SCHEMA, touched)
     if target is None:
         target = spark.createDataFrame([], vocab.NOTICE_SCHEMA)
-    columns = vocab.NOTICE_SCHEMA.names
     merged = upsert(target.select(columns), incoming, now).drop("change")
     if full_snapshot:
         merged = deactivate_missing(merged, incoming, incoming).drop("retired")
-    write_snapshot(merged.select(columns), path, batch_id + 1)
+    write_snapshot(merged.select(columns), path, version, replay)
 
 
 def ingest(
@@ -62,11 +67,15 @@ def ingest(
     order: Sequence[str] = ("ingest_ix",),
     full_snapshot: bool = False,
 ) -> StreamingQuery:
-    """Run all available input of a record stream into the history table."""
+    """Run all available input of a record stream into the history table.
+
+    The checkpoint's path names the stream, so batches of another checkpoint are new batches.
+    """
+    name = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         stamp = now if now is not None else F.current_timestamp()
-        merge_batch(batch, batch_id, path, stamp, order, full_snapshot)
+        merge_batch(batch, batch_id, path, stamp, order, full_snapshot, name)
 
     return (
         stream.writeStream.foreachBatch(sink)

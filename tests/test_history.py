@@ -136,6 +136,17 @@ def test_snapshots_and_replay(spark, tmp_path, batch):
     assert read_snapshot(spark, path).where("employer = 'lost'").count() == 0
 
 
+def test_odd_states_and_a_second_checkpoint_keep_the_history(spark, tmp_path, batch):
+    path = str(tmp_path / "table")
+    merge_batch(batch({"state": None, "employer": "Acme"}, {"state": "A/B =%", "employer": "Beta"}), 0, path, T1, ["ix"])
+    merge_batch(batch({"state": None, "employer": "Gamma"}, {"state": "A/B =%", "employer": "Delta"}), 1, path, T1, ["ix"])
+    # Another stream counts its batches from 0 again.
+    merge_batch(batch({"state": "MD", "employer": "Epsilon"}), 0, path, T2, ["ix"], stream="other")
+    merge_batch(batch({"state": None, "employer": "Zeta"}), 0, path, T2, ["ix"], stream="third")
+    got = {(r.state, r.employer) for r in read_snapshot(spark, path).collect()}
+    assert got == {(None, "Acme"), (None, "Gamma"), (None, "Zeta"), ("A/B =%", "Beta"), ("A/B =%", "Delta"), ("MD", "Epsilon")}
+
+
 def test_source_status(spark):
     sources = spark.createDataFrame([("MD", ""), ("VA", None), ("WY", "does not publish")], "state string, unavailable string")
     counts = spark.createDataFrame([("MD", 3, 10), ("WY", 1, 1)], "state string, rows_parsed long, workers long")
