@@ -12,21 +12,26 @@ from pyspark.sql import types as T
 from docketlake.llm.notices import KEY, TEXT
 from docketlake.llm.store import saved
 
-FREQUENT = 1 << 19        # pre-tokens whose counts are broadcast, at most (some 8 MB, 65 MB as a table in a task)
-FLUSH_WORDS = 200_000     # distinct pre-tokens a task holds before it hands them on
-BATCH_ROWS = 500          # texts cut at once
+FREQUENT = 1 << 18        # pre-tokens whose counts are broadcast, at most (some 4 MB, 35 MB as a table in a task)
+FLUSH_WORDS = 100_000     # distinct pre-tokens a task holds before it hands them on
+BATCH_ROWS = 250          # texts cut at once
 
 
-def load_rules(path: str) -> str:
-    """Text of a byte-level ``tokenizer.json``; other kinds are refused, since their pre-tokens are not independent."""
+def load_rules(path: str) -> tuple[str, list[str], bool]:
+    """Text of a byte-level ``tokenizer.json``, its special strings, and whether a space is put first.
+
+    Other kinds are refused, since their pre-tokens are not independent.
+    """
     import json
 
     with open(path, encoding="utf-8") as f:
         text = f.read()
     rules = json.loads(text)
-    if rules["model"]["type"] != "BPE" or (rules.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or rules.get("normalizer"):
+    cut = rules.get("pre_tokenizer") or {}
+    if rules["model"]["type"] != "BPE" or cut.get("type") != "ByteLevel" or rules.get("normalizer"):
         raise ValueError("only byte-level BPE files without normalizer are supported")
-    return text
+    special = sorted((t["content"] for t in rules["added_tokens"]), key=len, reverse=True)
+    return text, special, bool(cut.get("add_prefix_space"))
 
 
 class PreTokenizer:
@@ -35,18 +40,12 @@ class PreTokenizer:
     # Fixed value: the word pattern of byte-level vocabularies.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, rules: str):
-        import json
-
+    def __init__(self, special: list[str], space_first: bool):
         import regex
-        from tokenizers import Tokenizer
 
-        own = json.loads(rules)
-        special = sorted((t["content"] for t in own["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.word = regex.compile(self.PATTERN)
-        self.space_first = bool(own["pre_tokenizer"].get("add_prefix_space"))
-        self.model = Tokenizer.from_str(rules)
+        self.space_first = space_first
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-tokens of a text with their numbers, and the number of special strings in it (a token each)."""
@@ -62,40 +61,48 @@ class PreTokenizer:
     def _led(self, text: str) -> str:
         return " " + text if self.space_first and text and not text[0].isspace() else text
 
-    def pieces(self, words: list[str]) -> list[int]:
-        """Pieces of each distinct pre-token."""
-        self.model.encode_special_tokens = True
-        return [len(e.ids) for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+def _texts(batches, text: str):
+    """Texts of batches, a few hundred at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(first, BATCH_ROWS)
+            yield part, part.column(text).to_pylist()
 
 
-def pretoken_table(notices: DataFrame, rules: str, text: str = TEXT) -> DataFrame:
+def pretoken_table(notices: DataFrame, rules: tuple[str, list[str], bool], text: str = TEXT) -> DataFrame:
     """``word, times, n``: every distinct pre-token of all texts, how often it occurs, its pieces.
 
     Tasks hand on their own totals; each distinct pre-token is then counted once.
     """
-    sent = notices.sparkSession.sparkContext.broadcast(rules)
+    model, *cutting = rules
+    sent = notices.sparkSession.sparkContext.broadcast(model)
 
     def tally(batches):
-        cut, held = PreTokenizer(sent.value), Counter()
+        cut, held = PreTokenizer(*cutting), Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
                                               ["word", "times"])
 
-        for batch in batches:
-            for value in batch.column(text).to_pylist():
+        for _, values in _texts(batches, text):
+            for value in values:
                 held.update(cut.frequencies(value or "")[0])
-                if len(held) > FLUSH_WORDS:
-                    yield out()
-                    held.clear()
+            if len(held) > FLUSH_WORDS:
+                yield out()
+                held.clear()
         yield out()
 
     def pieces(batches):
-        cut = PreTokenizer(sent.value)
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(sent.value)
+        library.encode_special_tokens = True
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("times"),
-                                              pa.array(cut.pieces(batch.column("word").to_pylist()), pa.int32())],
-                                             ["word", "times", "n"])
+            for part, words in _texts([batch], "word"):
+                n = [len(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("times"), pa.array(n, pa.int32())],
+                                                 ["word", "times", "n"])
 
     totals = notices.select(text).mapInArrow(tally, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
     return totals.mapInArrow(pieces, "word string, times long, n int")
@@ -133,34 +140,33 @@ def count_tokens(notices: DataFrame, rules_path: str, key: str = KEY, text: str
     """
     rules = load_rules(rules_path)
     table = saved(pretoken_table(notices, rules, text), "pretokens")
-    known = notices.sparkSession.sparkContext.broadcast((rules, frequent_words(table, frequent)))
+    _, *cutting = rules
+    known = notices.sparkSession.sparkContext.broadcast(frequent_words(table, frequent))
 
     def local(batches):
-        own_rules, frequent_table = known.value
+        frequent_table = known.value
         counts = dict(zip(frequent_table.column("word").to_pylist(), frequent_table.column("n").to_pylist(), strict=True))
-        cut = PreTokenizer(own_rules)
-        for batch in batches:
-            for first in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(first, BATCH_ROWS)
-                rows, settled, words, times = [], [], [], []
-                for i, value in enumerate(part.column("text").to_pylist()):
-                    found, total = cut.frequencies(value or "")
-                    rare = []
-                    for word, k in found.items():
-                        n = counts.get(word)
-                        if n is None:
-                            rare.append((word, k))
-                        else:
-                            total += n * k
-                    # What is settled goes with the first line of the text, and only there.
-                    rows.extend([i] * max(len(rare), 1))
-                    settled.extend([total, *[None] * (len(rare) - 1)])
-                    words.extend([w for w, _ in rare] or [None])
-                    times.extend([k for _, k in rare] or [0])
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(at) for c in ("key", "code", "n_bytes")), pa.array(settled, pa.int64()),
-                     pa.array(words, pa.string()), pa.array(times, pa.int32())], schema.names)
+        cut = PreTokenizer(*cutting)
+        for part, values in _texts(batches, "text"):
+            rows, settled, words, times = [], [], [], []
+            for i, value in enumerate(values):
+                found, total = cut.frequencies(value or "")
+                rare = []
+                for word, k in found.items():
+                    n = counts.get(word)
+                    if n is None:
+                        rare.append((word, k))
+                    else:
+                        total += n * k
+                # What is settled goes with the first line of the text, and only there.
+                rows.extend([i] * max(len(rare), 1))
+                settled.extend([total, *[None] * (len(rare) - 1)])
+                words.extend([w for w, _ in rare] or [None])
+                times.extend([k for _, k in rare] or [0])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(at) for c in ("key", "code", "n_bytes")), pa.array(settled, pa.int64()),
+                 pa.array(words, pa.string()), pa.array(times, pa.int32())], schema.names)
 
     own = notices.select(F.col(key).alias("key"), F.xxhash64(text).alias("code"),
                          F.coalesce(F.octet_length(text), F.lit(0)).alias("n_bytes"), F.col(text).alias("text"))
