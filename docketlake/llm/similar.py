@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,9 +189,12 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Data
         compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _may_reach(threshold: int):
-    """Can two texts that share this token reach the similarity, given their sizes and lone tokens?"""
-    most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
+def _may_reach(threshold: int, ahead: Column | None = None) -> Column:
+    """Can two texts that share this token reach the similarity, given their sizes and lone tokens?
+
+    ``ahead`` is a further bound of what they can share, from the token's places.
+    """
+    most = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"), *([] if ahead is None else [ahead]))
     return 100 * most >= threshold * (F.col("size_a") + F.col("size_b") - most)
 
 
@@ -231,7 +234,7 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
     # A rarer prefix token that no other prefix has is in no partner: ``alone`` counts those before a
     # posting, ``lonely`` all of a text.
     postings = saved(postings.join(shared, "token").select(
-        "rep", "size", "matches", "token", (F.col("pos") - F.row_number().over(of_text.orderBy("pos")) + 1).alias("alone"),
+        "rep", "size", "matches", "token", "pos", (F.col("pos") - F.row_number().over(of_text.orderBy("pos")) + 1).alias("alone"),
         (F.col("width") - F.count("*").over(of_text)).alias("lonely")), "postings")
     wanted = classes.withColumnRenamed("rep", "key").join(
         postings.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
@@ -250,11 +253,13 @@ def similar_notices(notices: DataFrame, key: str = KEY, text: str = TEXT, n: int
 
     rest = _open_postings(postings, label)
     one = rest.select("token", F.col("rep").alias("a"), F.col("size").alias("size_a"),
-                      F.col("matches").alias("need_a"), F.col("component").alias("in_a"), F.col("alone").alias("alone_a"))
+                      F.col("matches").alias("need_a"), F.col("component").alias("in_a"), F.col("alone").alias("alone_a"), F.col("pos").alias("pos_a"))
     two = rest.select("token", F.col("rep").alias("b"), F.col("size").alias("size_b"),
-                      F.col("matches").alias("need_b"), F.col("component").alias("in_b"), F.col("alone").alias("alone_b"))
+                      F.col("matches").alias("need_b"), F.col("component").alias("in_b"), F.col("alone").alias("alone_b"), F.col("pos").alias("pos_b"))
+    # Only the first ``need`` shared tokens have to meet: before them lie fewer than ``need`` others.
+    ahead = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) + F.least("need_a", "need_b") - 1
     pairs = (one.join(two, "token")
-             .where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _may_reach(threshold))
+             .where((F.col("a") < F.col("b")) & (F.col("in_a") != F.col("in_b")) & _may_reach(threshold, ahead))
              .groupBy("a", "b").agg(F.count("*").alias("shares"), F.first(F.least("need_a", "need_b")).alias("need"))
              .where("shares >= need").select("a", "b"))
     pairs = saved(_untried(pairs, tried), "pairs")
