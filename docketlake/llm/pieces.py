@@ -19,9 +19,10 @@ from docketlake.llm import kernel
 from docketlake.llm.notices import TEXT
 
 SPACE = "▁"        # the mark that stands for a space
-PAIRS = 1_000_000       # pairs of pieces a worker remembers, at most
+ENCODE_BYTES = 2 << 20  # text encoded at once
+PAIRS = 500_000         # pairs of pieces a worker remembers, at most
 SHORT_WORD = 64         # characters up to which words are searched together
-DECODE_ROWS = 500        # rows decoded at once
+DECODE_ROWS = 250        # rows decoded at once
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the worst piece
 
 # Piece and model types of the file format.
@@ -445,7 +446,7 @@ def encode_notices(notices: DataFrame, model_path: str, text: str = TEXT, ids: s
 
     def encode(batches):
         encoder = _encoder(sent.value, number)
-        for s in kernel.slices(batches, text):
+        for s in kernel.slices(batches, text, ENCODE_BYTES):
             flat, bounds = encoder.encode_slice(s)
             column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([s.batch.column(f.name) for f in kept] + [column],
