@@ -11,6 +11,7 @@ from docketlake.operators import merge, rollup, search
 from docketlake.operators.funnel import coverage
 from docketlake.plans.catalog.base import CODES, filings, query, table, text_of, with_filings
 from docketlake.plans.ingest import period_urls
+from docketlake.session import work_dir
 
 FIRST, NOW = "2024-01-01 00:00:00", "2024-06-01 12:00:00"
 _ROW = ("hash", "state", "employer", "city", "employees", "notice_type")
@@ -226,6 +227,20 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("notice_date", F.col("notice_date").cast("string"))
 
 
+@query("export_files", with_filings("""
+SELECT fmt, state, employer, cast(notice_date AS VARCHAR) AS notice_date, employees FROM filings, (VALUES ('csv'), ('json')) AS f(fmt)
+WHERE state IN ('AL', 'CA', 'GA')"""))
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports written as CSV and as JSON lines, read back whole."""
+    base, names = work_dir(spark, "export"), "state string, employer string, notice_date date, employees int"
+    out = search.export_rows(filings(spark, sf_dir), ["al", "ca", "ga"], columns=("state", "employer", "notice_date", "employees"))
+    for fmt in ("csv", "json"):
+        search.write_export(out, f"{base}/{fmt}", fmt)
+    back = spark.read.schema(names).option("header", "true").csv(f"{base}/csv").withColumn("fmt", F.lit("csv")).unionByName(
+        spark.read.schema(names).json(f"{base}/json").withColumn("fmt", F.lit("json")))
+    return back.withColumn("notice_date", F.col("notice_date").cast("string"))
+
+
 @query("search_export", with_filings("""
 SELECT state, employer, city, county, cast(notice_date AS VARCHAR) AS notice_date,
   cast(effective_date AS VARCHAR) AS effective_date, employees, notice_type, industry, source_url
