@@ -24,7 +24,7 @@ from docketlake.llm.notices import KEY, TEXT
 from docketlake.llm.store import saved
 
 LENGTH = 400
-PIECE_BYTES = 4 << 20      # a longer text is anchored in pieces that overlap by a string
+PIECE_BYTES = 2 << 20      # a longer text is anchored in pieces that overlap by a string
 MERGE_ROWS = 20_000        # reaches merged at once (a larger group is merged as a whole)
 BROADCAST_ROWS = 1_000_000  # places of border reaches (40 bytes each) that are broadcast
 _POSITION_BITS = 23
