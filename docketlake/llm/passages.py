@@ -1,12 +1,11 @@
-"""Repeated passages of notice texts, by merging sorted suffixes of shards.
-
-A suffix array of all bytes is never built.  Every ``length``-byte string is anchored at
-the least of its half-length grams, so equal strings have equal anchors, and the strings
-of one anchor lie in one *reach* of text.  Reaches that occur twice settle all their
-strings.  The others - the borders of copies - are ordered by what follows and by what
-precedes their anchor: each task sorts its own (a shard of the forward and of the backward
-Burrows-Wheeler order), and the shards are merged by refining their interleaving symbol by
-symbol.  The common prefixes that fall out give the repeated intervals.
+"""Repeated passages of notice texts, by anchored strings.
+
+A suffix array of all bytes is never built, and suffixes are not sorted or merged.  Every
+``length``-byte string is anchored at the least of its half-length grams, so equal strings
+have equal anchors, and the strings of one anchor lie in one *reach* of text.  Reaches that
+occur twice, by their 64-bit hash, settle all their strings.  The strings of the others - the
+borders of copies - are counted one by one under their gram and a 64-bit hash of their own, in
+partial counts, so the borders of a gram that very many texts share are spread like any others.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from docketlake.llm.store import saved
 
 LENGTH = 400
 PIECE_BYTES = 2 << 20      # a longer text is anchored in pieces that overlap by a string
-MERGE_ROWS = 20_000        # reaches merged at once (a larger group is merged as a whole)
+BATCH_STRINGS = 200_000    # border strings a task sends at once
 BROADCAST_ROWS = 1_000_000  # places of border reaches (40 bytes each) that are broadcast
 _POSITION_BITS = 23
 _ROW = ["row_a", "row_b"]  # identity of a row: 128 bits over key and text, so equal rows are one
@@ -97,11 +96,11 @@ def reaches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def refine_interleave(group: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge sorted shards by refining their interleaving; order of the rows and common prefixes.
+    """Order of grouped texts by word, and their common prefixes; ``drop_repeats`` does not need it.
 
     ``group`` numbers the blocks to begin with, ``symbols`` holds each row's text as big-endian
     words, ``sizes`` its bytes.  A round looks at the next word of the rows whose block still has
-    several rows and splits those blocks; the order inside a block stays as the shards had it.
+    several rows and splits those blocks; the order inside a block stays as it was.
     Where a split appears, the common prefix of the neighbours is known.  The result's
     ``lcp[i]`` is the common prefix of rows ``order[i-1]`` and ``order[i]``; -1 between groups.
     """
@@ -137,97 +136,52 @@ def _words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
             np.array([len(t) for t in texts], np.int64))
 
 
-def repeated_starts(group: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> np.ndarray:
-    """Which strings of each reach occur in another reach of its group.
+def _border_strings(rows: DataFrame, borders: DataFrame, length: int) -> DataFrame:
+    """Every string of each border reach ``(gram, string, reach, copies, at)``, from the text it was first seen in.
 
-    ``before`` and ``after`` are the bytes around the gram.  Result [i, o]: the string that
-    starts ``o`` bytes before the gram of reach i.  Two reaches share it when they lie in one
-    interval of ``o`` bytes of the backward order and of the rest in the forward order.
+    ``string`` is its hash, ``at`` its start after the first one of the reach.
     """
-    gram = length // 2
-    rest = length - gram
-    left, left_size = _words([b[::-1] for b in before], rest)
-    right, right_size = _words(after, rest)
-    intervals = []
-    for symbols, sizes in ((left, left_size), (right, right_size)):
-        order, lcp = refine_interleave(group, symbols, sizes)
-        intervals.append((order, lcp))
-    out = np.zeros((len(group), rest + 1), bool)
-    for o in range(rest + 1):
-        rows = np.flatnonzero((left_size >= o) & (right_size >= rest - o))
-        if len(rows) < 2:
-            continue
-        number = []
-        for (order, lcp), depth in zip(intervals, (o, rest - o), strict=True):
-            ids = np.empty(len(group), np.int64)
-            ids[order] = np.cumsum(lcp < depth)
-            number.append(ids[rows])
-        _, which, count = np.unique(number[0] * (len(group) + 1) + number[1], return_inverse=True, return_counts=True)
-        out[rows, o] = count[which] > 1
-    return out
-
-
-def _border_contexts(rows: DataFrame, borders: DataFrame, length: int) -> DataFrame:
-    """Bytes before and after the gram of each border reach, cut from the text it was first seen in."""
-    places = borders.groupBy(*_ROW).agg(F.collect_list(F.struct("gram", "reach", "copies", "first", "last", "anchor")).alias("places"))
+    places = borders.groupBy(*_ROW).agg(F.collect_list(F.struct("gram", "reach", "copies", "first", "last")).alias("places"))
     if borders.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    gram = length // 2
+
+    def flush(held):
+        counts = [len(h) for *_, h in held]
+        gram, reach, copies = (np.repeat(np.array([h[i] for h in held], np.int64), counts) for i in range(3))
+        strings, at = np.concatenate([h[3] for h in held]), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, kernel.signed(strings), reach, copies, at)],
+                                          ["gram", "string", "reach", "copies", "at"])
 
     def cut(batches):
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True):
-                for p in found:
-                    out.append((p["gram"], p["reach"], p["copies"], p["anchor"] - p["last"], p["anchor"] - p["first"],
-                                raw[p["first"]: p["anchor"]], raw[p["anchor"] + gram: p["last"] + length]))
-            # The task's own shard comes sorted by what follows the gram.
-            out.sort(key=lambda r: (r[0], r[6]))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             ["gram", "reach", "copies", "low", "high", "before", "after"])
+            for text, found in zip(batch.column("text"), batch.column("places"), strict=True):
+                raw = np.frombuffer(text.cast(pa.binary()).as_buffer(), np.uint8)
+                for p in found.as_py():
+                    sums = kernel.prefix_sums(raw[p["first"]: p["last"] + length])
+                    start = np.arange(p["last"] - p["first"] + 1)
+                    held.append((p["gram"], p["reach"], p["copies"], kernel.span_hash(sums, start, start + length)))
+                    size += len(start)
+                    if size >= BATCH_STRINGS:
+                        yield flush(held)
+                        held, size = [], 0
+        if held:
+            yield flush(held)
 
     # Rows that are equal come more than once; all their reaches have copies anyway.
     return rows.select(*_ROW, "text").join(places, _ROW).select("text", "places").mapInArrow(
-        cut, "gram long, reach long, copies long, low int, high int, before binary, after binary")
+        cut, "gram long, string long, reach long, copies long, at int")
 
 
-def _merge_borders(contexts: DataFrame, length: int) -> DataFrame:
-    """Ranges of repeated starts ``(gram, reach, ranges)`` of the border reaches that occur once."""
+def _lone_strings(strings: DataFrame) -> DataFrame:
+    """Places ``(gram, reach, lone)`` of the strings that occur once, by reach; a reach has at most ``length`` of them.
 
-    def merge(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            held.extend(zip(*(batch.column(c).to_pylist() for c in ("gram", "reach", "copies", "high", "before", "after")), strict=True))
-            if len(held) >= MERGE_ROWS and held[0][0] != held[-1][0]:
-                last = held[-1][0]
-                cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != last) + 1
-                yield _merged(held[:cut], length)
-                held = held[cut:]
-        if held:
-            yield _merged(held, length)
-
-    return (contexts.repartition("gram").sortWithinPartitions("gram")
-            .mapInArrow(merge, "gram long, reach long, ranges array<int>"))
-
-
-def _merged(rows: list[tuple], length: int) -> pa.RecordBatch:
-    gram, reach, copies, high, before, after = zip(*rows, strict=True)
-    group = np.unique(np.array(gram, np.int64), return_inverse=True)[1]
-    again = repeated_starts(group, list(before), list(after), length)
-    out = []
-    for i in range(len(rows)):
-        hit = np.flatnonzero(again[i]) if copies[i] == 1 else ()
-        if len(hit):
-            # Start ``o`` before the gram is ``high - o`` after the first start of the reach.
-            at = high[i] - hit[::-1]
-            cut = np.flatnonzero(np.diff(at) > 1)
-            ranges = np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], 1)
-            out.append((gram[i], reach[i], ranges.ravel().tolist()))
-    cols = list(zip(*out, strict=True)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                       pa.array(cols[2], pa.list_(pa.int32()))], ["gram", "reach", "ranges"])
+    A string that is counted once has one owner, whatever maximum is taken, so the owners of
+    a string that many texts share are never brought together.
+    """
+    once = strings.groupBy("gram", "string").agg(
+        F.count("*").alias("n"), F.max("reach").alias("reach"), F.max("copies").alias("copies"), F.max("at").alias("at"))
+    return once.where("n = 1 AND copies = 1").groupBy("gram", "reach").agg(F.sort_array(F.collect_list("at")).alias("lone"))
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -239,14 +193,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     several = shared.where("NOT alike").groupBy("gram", "reach").agg(
         F.count("*").alias("copies"), F.min(F.struct(*_ROW, "first", "last", "anchor")).alias("place"))
     several = saved(several.select("gram", "reach", "copies", "place.*"), "variants")
-    borders = saved(_merge_borders(_border_contexts(rows, several, length), length), "borders")
     settled = shared.where("alike").select(*_ROW, "first", "last")
     copied = shared.where("NOT alike").join(several.where("copies > 1").select("gram", "reach"), ["gram", "reach"]) \
         .select(*_ROW, "first", "last")
-    partly = shared.where("NOT alike").join(borders, ["gram", "reach"]).select(
-        *_ROW, "first", F.explode(F.expr("transform(sequence(0, size(ranges) div 2 - 1), i -> struct("
-                                         "ranges[2 * i] AS low, ranges[2 * i + 1] AS high))")).alias("r")) \
-        .select(*_ROW, (F.col("first") + F.col("r.low")).alias("first"), (F.col("first") + F.col("r.high")).alias("last"))
+    lone = _lone_strings(_border_strings(rows, several, length))
+    # All other strings of a reach that occurs once start elsewhere too: the ranges between the lone ones.
+    single = several.where("copies = 1").join(lone, ["gram", "reach"], "left").select(
+        *_ROW, "first", F.expr("concat(array(-1), coalesce(lone, array()), array(cast(last - first + 1 AS int)))").alias("edge"))
+    partly = saved(single.select(
+        *_ROW, "first", F.explode(F.expr("transform(sequence(1, size(edge) - 1), i -> struct("
+                                         "edge[i - 1] + 1 AS low, edge[i] - 1 AS high))")).alias("r"))
+        .where("r.low <= r.high")
+        .select(*_ROW, (F.col("first") + F.col("r.low")).alias("first"), (F.col("first") + F.col("r.high")).alias("last")), "borders")
     return settled.unionByName(copied).unionByName(partly)
 
 

@@ -1,7 +1,9 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docketlake.llm import passages
 from docketlake.llm.passages import drop_repeats, refine_interleave
@@ -86,3 +88,22 @@ def test_refined_interleave_is_the_sorted_order():
         a, b = texts[order[i - 1]], texts[order[i]]
         same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lcp[i] == (same if group[order[i]] == group[order[i - 1]] else -1)
+
+
+def test_borders_of_one_shared_passage_are_spread(spark, notices):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared, length = word(60), 40
+    texts = [word(30) + shared + word(30) for _ in range(200)]
+    check(notices, texts, length)
+    rows = passages.identified(notices(list(enumerate(texts))))
+    places = passages.reaches(rows, length)
+    several = places.groupBy("gram", "reach").agg(F.count("*").alias("copies"), F.min(F.struct("row_a", "row_b", "first", "last")).alias("p")) \
+        .select("gram", "reach", "copies", "p.*")
+    hot = several.groupBy("gram").count().orderBy(F.desc("count")).first()
+    assert hot["count"] >= 100
+    strings = passages._border_strings(rows, several, length)
+    # The variants of the hot gram meet under many keys, and never as one group of the gram.
+    assert strings.where(F.col("gram") == hot["gram"]).select("string").distinct().count() > hot["count"]
+    plan = passages._lone_strings(strings)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gram" in plan and not re.search(r"hashpartitioning\(gram#\d+L?, \d+\)", plan)
