@@ -63,11 +63,16 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"\r\n" + block
 
 
-def _page_records(page_id, url: str | None, payload: bytes, digest: str, refers_to, segment_bytes: int) -> Iterator[bytes]:
-    own = [("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", CAPTURED_AT),
+def _urn(page_id, row: int | None = None) -> str:
+    """Record id of a page; the rows of a repeated or missing page id are told apart by a row number."""
+    return f"<urn:page:{page_id}>" if row is None else f"<urn:page:{'' if page_id is None else page_id}:row:{row}>"
+
+
+def _page_records(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
+    own = [("WARC-Record-ID", record_id), ("WARC-Date", CAPTURED_AT),
            ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), *own, ("WARC-Refers-To", f"<urn:page:{refers_to}>"),
+        yield _record([("WARC-Type", "revisit"), *own, ("WARC-Refers-To", refers_to),
                        ("WARC-Profile", REVISIT_PROFILE)], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -82,8 +87,8 @@ def _page_records(page_id, url: str | None, payload: bytes, digest: str, refers_
     yield _record([*first, ("WARC-Segment-Number", "1")], parts[0])
     for n, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else []
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{n}>"), ("WARC-Date", CAPTURED_AT),
-                       ("WARC-Segment-Origin-ID", f"<urn:page:{page_id}>"), ("WARC-Segment-Number", str(n)), *last], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{record_id[:-1]}:{n}>"), ("WARC-Date", CAPTURED_AT),
+                       ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", str(n)), *last], part)
 
 
 def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str = "source_url", payload: str = "html",
@@ -92,29 +97,51 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
 
     Of pages with equal payloads of ``REVISIT_BYTES`` or more, the one with the largest id is a
     response and the others revisit it.  The choice is a partial maximum per digest, so a payload
-    that a third of all pages share costs each task one row.  NULL payloads are empty.  Page ids
-    must be unique and not NULL; other columns are ignored.  Payloads stay where they lie.
+    that a third of all pages share costs each task one row.  NULL payloads are empty.  Other
+    columns are ignored.  Payloads stay where they lie.
+
+    Page ids may repeat or be NULL: every row is a record of its own, with a row number in its id.
+    Rows that repeat the largest id are all responses; revisits refer to one of them.  A NULL id is
+    smaller than any other, and of NULL ids alone one row is the response.  Only such rows are
+    copied, once, so that their numbers stay.
     """
     own = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), F.encode(F.coalesce(payload, F.lit("")), "utf-8").alias("body"))
     own = own.withColumn("digest", F.sha1("body"))
+    several = saved(own.groupBy("page").agg(F.count("*").alias("rows")).where("page IS NOT NULL AND rows > 1").select("page"), "several")
+    n_several = several.count()
+    if n_several <= 1_000_000:
+        several = F.broadcast(several)
+    # A left anti join keeps NULL ids; they go with the repeated ones.
+    odd = own.where("page IS NULL")
+    if n_several:
+        odd = odd.unionByName(own.join(several, "page", "left_semi").select(*own.columns))
+    odd = saved(odd.withColumn("row", F.monotonically_increasing_id()), "odd-pages")
+    once = own.where("page IS NOT NULL")
+    if n_several:
+        once = once.join(several, "page", "left_anti").select(*own.columns)
+    own = once.withColumn("row", F.lit(None).cast("long")).unionByName(odd)
+
     large = F.length("body") >= REVISIT_BYTES
-    newest = own.where(large).groupBy("digest").agg(F.max("page").alias("response"), F.count("*").alias("pages")) \
+    newest = own.where(large).groupBy("digest").agg(F.max(F.struct("page", "row")).alias("response"), F.count("*").alias("pages")) \
         .where("pages > 1").select("digest", "response")
     # Only digests that repeat are joined; payloads are not shuffled while these fit a broadcast.
     if newest.count() <= 1_000_000:
         newest = F.broadcast(newest)
+    same = F.when(F.col("response.page").isNull(), F.col("response.row") == F.col("row")).otherwise(
+        F.col("response.page").eqNullSafe(F.col("page")))
     rows = own.join(newest, "digest", "left").withColumn(
-        "refers_to", F.when(large & (F.col("response") != F.col("page")), F.col("response")))
+        "refers_to", F.when(large & F.col("response").isNotNull() & ~same, F.col("response")))
 
     def write(batches):
         for batch in batches:
             out = []
-            for page_id, link, body, digest, back in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "body", "digest", "refers_to")),
-                                                         strict=True):
-                out.extend(_page_records(page_id, link, body, digest, back, segment_bytes))
+            for page_id, row, link, body, digest, back in zip(
+                    *(batch.column(c).to_pylist() for c in ("page", "row", "url", "body", "digest", "refers_to")), strict=True):
+                target = None if back is None else _urn(back["page"], back["row"])
+                out.extend(_page_records(_urn(page_id, row), link, body, digest, target, segment_bytes))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    records = rows.select("page", "url", "body", "digest", "refers_to").mapInArrow(write, "record binary")
+    records = rows.select("page", "row", "url", "body", "digest", "refers_to").mapInArrow(write, "record binary")
     # The text sink writes the bytes as they are and ends each record with the format's end mark.
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 

@@ -61,11 +61,15 @@ def op3_page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive.write_archives(pages, path)
     whole = archive.reassemble(archive.read_records(spark, path))
     found = archive.resolved(whole)
-    number = F.regexp_extract
+
+    def number(record: str) -> Column:
+        # Nothing stands for a missing page id.
+        return F.nullif(F.regexp_extract(record, r"page:(-?\d+)", 1), F.lit("")).cast("long")
+
     return found.select(
-        number("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"), "payload_bytes",
+        number("record_id").alias("page_id"), "payload_bytes",
         F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), "record_type",
-        number("refers_to", r"page:(-?\d+)", 1).cast("long").alias("refers_to"))
+        number("refers_to").alias("refers_to"))
 
 
 ORACLES["op3_page_archive"] = """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docketlake.llm import archive, counts, dialogues, language, quality, rules
-from docketlake.llm.queries import BYTE_RULES
+from docketlake.llm.queries import BYTE_RULES, QUERIES
 
 
 def plain_words(text):
@@ -137,6 +137,30 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.reassemble(archive.read_records(spark, none)).count() == 0
 
 
+def test_archive_of_repeated_and_missing_page_ids(spark, tmp_path):
+    small, large, huge = "s" * 20, "m" * 2000, "h" * 9000
+    rows = [(1, "u", huge), (1, "u", huge), (1, "v", "h" * 9001), (None, "u", huge), (None, "w", "n" * 9000), (None, "w", "n" * 9000),
+            (2, "u", large), (2, "u", large), (0, "u", large), (None, "u", large), (3, "u", small), (3, "u", small), (None, "u", small),
+            (None, "u", None), (None, "u", None), (7, "u", "plain")]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    path = str(tmp_path / "archive")
+    archive.write_archives(pages(spark, rows), path, segment_bytes=4000)
+    records = archive.reassemble(archive.read_records(spark, path)).collect()
+    assert len({r.record_id for r in records}) == len(records) == len(rows)
+    assert {r.refers_to for r in records} - {None} <= {r.record_id for r in records if r.record_type == "response"}
+    for segment_bytes in (4000, archive.SEGMENT_BYTES):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(archive.write_archives, "__defaults__", (*archive.write_archives.__defaults__[:-1], segment_bytes))
+            out = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op3_page_archive"](spark, folder).collect()]
+        assert sorted(out, key=str) == sorted([
+            (1, 9000, "response", None), (1, 9000, "response", None), (1, 9001, "response", None), (None, 9000, "revisit", 1),
+            (None, 9000, "response", None), (None, 9000, "revisit", None),
+            (2, 2000, "response", None), (2, 2000, "response", None), (0, 2000, "revisit", 2), (None, 2000, "revisit", 2),
+            (3, 20, "response", None), (3, 20, "response", None), (None, 20, "response", None),
+            (None, 0, "response", None), (None, 0, "response", None), (7, 5, "response", None)], key=str)
+
+
 def test_missing_segments_are_errors(spark, tmp_path):
     path = str(tmp_path / "archive")
     archive.write_archives(pages(spark, [(1, "u", "abc" * 9000)]), path, segment_bytes=4000)
