@@ -29,10 +29,25 @@ def _documents(notices: DataFrame, columns: list[str]) -> DataFrame:
     return notices.withColumnsRenamed({v: k for k, v in NAMES.items()}).select(*columns)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents whose id is not among the given ones; those without an id stay."""
-    ids = saved(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id", "left_anti").select(*docs.columns)
+    ids = saved(ids.select(key).where(F.col(key).isNotNull()).distinct(), "dropped")
+    return docs.join(_small(ids), key, "left_anti").select(*docs.columns)
+
+
+def _one_of_equal_rows(docs: DataFrame, key: str) -> DataFrame:
+    """The smallest of the rows that share a key; only those are shuffled."""
+    again = saved(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
+    if again.isEmpty():
+        return docs
+    again = _small(again)
+    rest = F.struct(*[c for c in docs.columns if c != key])
+    one = docs.join(again, key, "left_semi").groupBy(key).agg(F.min(rest).alias("row")).select(key, "row.*")
+    return docs.join(again, key, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +60,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates."""
-    found = similar.similar_notices(_notices(docs), n=SHINGLE_WORDS, threshold=SIMILARITY)
-    return _without(docs, found.where("component_id != hash").select(F.col("hash").alias("doc_id")))
+    """One row of every group of near duplicates: that with the smallest id, or one without if none has an id.
+
+    Rows are told apart by id and text, so documents without an id are compared like all
+    others, and so are the texts of a repeated id; of rows with equal id and text one stays.
+    """
+    number = docs.schema["doc_id"].dataType
+    node = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0).cast(number)).alias("id"),
+                    F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"))
+    rows = docs.withColumn("_node", node)
+    found = similar.similar_notices(rows.withColumnsRenamed({"text": NAMES["text"]}), key="_node", n=SHINGLE_WORDS, threshold=SIMILARITY)
+    kept = _without(rows, found.where("component_id != _node").select("_node"), "_node")
+    return _one_of_equal_rows(kept, "_node").select(*docs.columns)
 
 
 def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Registered queries against their SQL, and the pipeline against its stages' rules."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -41,3 +44,22 @@ def test_pipeline(spark):
     assert ids < {r.doc_id for r in documents.collect()}
     assert sum(k in ids for k in good) > 0.7 * len(good)
     assert sum(k in ids for k, q in labels.items() if q == 0) <= 0.5 * sum(q == 0 for q in labels.values())
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    long = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    rows = [(1, long[0]), (1, long[0]), (None, long[1]), (None, long[1]), (None, long[1] + " end"), (2, long[2]), (2, long[3]),
+            (None, long[4]), (9, long[4]), (3, long[5]), (None, None), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    want = sorted([(1, long[0]), (2, long[2]), (2, long[3]), (9, long[4]), (3, long[5]), (None, None), (4, "")], key=str)
+    got = sorted(((x.doc_id, x.text) for x in one.collect()), key=str)
+    assert [x for x in got if x not in want] in ([(None, long[1])], [(None, long[1] + " end")])
+    assert [x for x in got if x in want] == want and len(got) == len(want) + 1
+    assert one.columns == docs.columns
+    kept = corpus_pipeline.unrepeated_text(spark, one, SF)
+    # A missing text leaves this stage as an empty one.
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((k, t or "") for k, t in got)
