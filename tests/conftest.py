@@ -8,9 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from docketlake.session import local_session  # noqa: E402
 
-AS_OF = "2026-06-01"
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

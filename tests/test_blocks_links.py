@@ -2,7 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from samples import AS_OF
 from docketlake.operators import blocks
 from docketlake.plans.ingest import HANDLERS, handler, period_urls, records_from_sources
 from docketlake.sources import links

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from samples import AS_OF
 from docketlake.functions import category, dates, identity, numbers, places, text
 
 DAY = date(2024, 3, 14)

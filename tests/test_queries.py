@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import SF
+from samples import SF
 from docketlake.plans.catalog import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
