@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlake.llm import archive, counts, dialogues, language, leaks, passages, pieces, quality, rules, similar
+from docketlake.llm import (
+    archive, counts, dialogues, idiom, language, leaks, passages, pieces, quality, rules, similar, variants, whitening,
+)
 from docketlake.llm.notices import from_documents
 from docketlake.session import work_dir
 
@@ -181,3 +183,74 @@ reach(node, seen) AS (
 SELECT sized.doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id
 FROM sized JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) ON node = sized.doc_id
 """
+
+
+def _every_31st(key: Column, run: Column) -> Column:
+    """The run without one of its code points where 31 divides the crc32 of key and run."""
+    h = F.crc32(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), run))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.word_counts(_notices(spark, sf_dir), min_length=7, min_count=2, alter=_every_31st)
+    return variants.spelling_variants(words, ratio=10)
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    notices = documents.select(F.col("doc_id").alias("hash"), F.col("text").alias("notes"), "lang")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(True))  # without an id a text is never learned from
+    model = idiom.fit_languages(notices, learn=~held_out)
+    return idiom.score_languages(notices.drop("lang"), model).select(
+        F.col("hash").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors, components=4))
+
+
+# The checksum is taken a half byte at a time; its 16 remainders are fixed values of the polynomial.
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+), hexed AS (
+  SELECT run, times, hex(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)) AS digits FROM runs
+), summed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(digits)),
+      lambda i: CAST(instr('0123456789ABCDEF', digits[(i // 2) * 2 + 2 - i % 2]) - 1 AS BIGINT))),
+    lambda c, x: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
+                      3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][1 + (xor(c, x) & 15)], c >> 4))) AS h
+  FROM hexed
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT times, CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word
+        FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), shorter AS (
+  SELECT DISTINCT word, n, length(word) AS size, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.rest
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.rest
+), best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.near, struct_pack(less := -w.n, near := p.near)) AS near, max(w.n) AS near_n
+  FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form,
+         CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), chain(word, root) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
