@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketlake.llm.notices import KEY, TEXT
+from docketlake.llm.store import saved
 
 FIT_ROWS = 500        # notices per language that are learned from, at most
 FIT_BYTES = 16 << 10  # longest text that is learned from; longer ones are scored all the same
+SPARE = 1.5           # how many more are looked at, since hashes do not fall evenly
 LANDMARKS = 32        # landmark windows per language
 LANGUAGES = 128       # languages told apart: the most frequent ones of the texts learned from
 WINDOW = 2_000        # characters of a window; the windows of a text vote by their length
@@ -109,14 +111,20 @@ def kernel(seen: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 def _learned(notices: DataFrame, key: str, text: str, label: str, learn: Column | None, rows: int, longest: int,
              languages: int) -> DataFrame:
-    """``_label, _text, _place``: at most ``rows`` texts of each of the most frequent languages, by a hash of the key."""
+    """``_label, _text, _place``: at most ``rows`` distinct texts of each of the most frequent languages, by a hash of key and text."""
     known = notices.where(learn) if learn is not None else notices
     known = known.select(F.col(key).cast("string").alias("_key"), F.col(label).alias("_label"), F.col(text).alias("_text")) \
         .where("_label IS NOT NULL").where(F.octet_length("_text").between(1, longest) & F.col("_text").rlike(r"\p{L}"))
-    common = [r["_label"] for r in known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(languages).collect()]
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key", "_text")
-    # The rank is limited inside every task, so a language sends `rows` rows of each.
-    return known.where(F.col("_label").isin(common)).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rows)
+    common = known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(languages).collect()
+    spark = notices.sparkSession
+    # Hashes below a bound hold some SPARE times the texts wanted, so only those are shuffled.
+    bounds = spark.createDataFrame(
+        [(r["_label"], min((1 << 63) - 1, int((1 << 64) * SPARE * rows / r["count"]) - (1 << 63))) for r in common],
+        T.StructType([known.schema["_label"]]).add("_below", "long"))
+    order = Window.partitionBy("_label").orderBy("_order")
+    few = known.select("_label", "_text", F.xxhash64("_key", "_text").alias("_order")).join(F.broadcast(bounds), "_label") \
+        .where("_order <= _below").groupBy("_label", "_order").agg(F.first("_text").alias("_text"))
+    return saved(few.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rows).select("_label", "_text", "_place"), "learned")
 
 
 def _alphabet(texts: list[str]) -> np.ndarray:
@@ -142,7 +150,7 @@ def fit_languages(notices: DataFrame, key: str = KEY, text: str = TEXT, label: s
     """Kernel ridge regression of every language against the rest, on Nystroem features of landmarks.
 
     ``learn`` is a condition on the columns: which rows may be learned from.  At most ``rows``
-    texts of each of the ``languages`` most frequent labels are, chosen by a hash of the key;
+    texts of each of the ``languages`` most frequent labels are, chosen by a hash of key and text;
     texts without a letter, over ``FIT_BYTES`` bytes or without label are not.  The first
     ``landmarks`` of each language are the landmarks; only those and the sums of the
     features reach the driver.  Without any text to learn from the model knows no language.
