@@ -69,10 +69,10 @@ def _prefix_table(synonyms: Mapping[str, Sequence[str]]) -> Column:
     return F.expr("map(" + ",".join(f"'{p}',{heads(p)}" for p in dict.fromkeys(s for _, s in pairs)) + ")")
 
 
-def _rule_table(rules: Mapping[str, Sequence[tuple[str, int]]]) -> Column:
+def _rule_table(rules: Mapping[str, Sequence[tuple[Sequence[str], int]]]) -> Column:
     """``ARRAY<STRUCT<field, needed, weight>>`` as one constant."""
     rows = (
-        f"named_struct('field','{f}','needed',split('{needed}',' '),'weight',{weight})"
+        f"named_struct('field','{f}','needed',split('{' '.join(needed)}',' '),'weight',{weight})"
         for f, items in rules.items()
         for needed, weight in items
     )
@@ -87,11 +87,11 @@ def _field_table(fields: Sequence[str]) -> Column:
 
 
 def _stems(
-    synonyms: Mapping[str, Sequence[str]], rules: Mapping[str, Sequence[tuple[str, int]]]
+    synonyms: Mapping[str, Sequence[str]], rules: Mapping[str, Sequence[tuple[Sequence[str], int]]]
 ) -> str:
     """Regex of the shortest texts one of which every scoring header contains."""
     texts = {s for group in synonyms.values() for s in group}
-    texts |= {word for group in rules.values() for needed, _ in group for word in needed.split()}
+    texts |= {word for group in rules.values() for needed, _ in group for word in needed}
     short = [t for t in texts if not any(o != t and o in t for o in texts)]
     return _shared_prefixes(short)
 
@@ -99,7 +99,7 @@ def _stems(
 def header_scores(
     header: Column | str,
     synonyms: Mapping[str, Sequence[str]] = vocab.SYNONYMS,
-    rules: Mapping[str, Sequence[tuple[str, int]]] = vocab.TOKEN_RULES,
+    rules: Mapping[str, Sequence[tuple[Sequence[str], int]]] = vocab.TOKEN_RULES,
 ) -> Column:
     """``ARRAY<STRUCT<score, rank, field>>`` of the fields a header may name."""
     fields = _field_table(sorted(set(synonyms) | set(rules)))
