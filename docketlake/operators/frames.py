@@ -13,7 +13,7 @@ Two forms of the same work:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docketlake import vocab
 from docketlake.functions.staging import stage
 from docketlake.functions.text import _col, clean_text, let
-from docketlake.operators.headers import map_headers, mapped_fields, name_headers, normalize_header
+from docketlake.operators.headers import hinted_cells, map_headers, mapped_fields, name_headers, normalize_header
 
 FRAME_KEY = ["doc_id", "frame_id"]
 
@@ -65,6 +65,16 @@ def file_header_score(cells: Column) -> Column:
     )
 
 
+DEEP_SCORE = 4.0  # two mapped fields: what a row below the first ones needs to be the header
+
+
+def _header_rule(kind: str) -> tuple[int, Callable[[Column], Column], float]:
+    """First rows that are preferred, their score, and what it must exceed."""
+    if kind == "web":
+        return vocab.WEB_HEADER_SCAN, web_header_score, 0.0
+    return vocab.FILE_HEADER_SCAN, file_header_score, 0.5
+
+
 def detect_headers(
     grid: DataFrame,
     kind: str = "web",
@@ -72,27 +82,26 @@ def detect_headers(
 ) -> DataFrame:
     """One row per frame: ``header_ix, headers, mapping, fields, width``.
 
-    ``web``: best of the first rows, else row 0.  ``file``: a row must beat 0.5,
-    otherwise the frame has no header and is left out.
+    The best of the first rows; when none of them scores, the best row below that maps at least
+    two fields, however deep.  Otherwise a ``web`` frame has row 0, and a ``file`` frame
+    has no header and is left out.  One aggregate over the rows, with one candidate of each
+    kind per task and frame; data cells stop at one stem test.
     """
-    scan = vocab.WEB_HEADER_SCAN if kind == "web" else vocab.FILE_HEADER_SCAN
-    score = web_header_score if kind == "web" else file_header_score
-    floor = 0.0 if kind == "web" else 0.5
-    scored = F.when(F.col("row_ix") < scan, score(F.col("cells")))
-    ranked = F.coalesce(F.when(scored > floor, scored), F.lit(-100.0))
-    head = F.when(
-        F.col("row_ix") < scan,
-        F.struct(ranked.alias("score"), (-F.col("row_ix")).alias("neg_ix"), "cells"),
-    )
+    scan, score, floor = _header_rule(kind)
+    first = F.col("row_ix") < scan
+    own = F.when(first | (hinted_cells(F.col("cells")) >= 2), score(F.col("cells")))
+    found = F.struct(own.alias("score"), (-F.col("row_ix")).alias("neg_ix"), "cells")
+    head = F.when(first & (own > floor), found)
+    deep = F.when(~first & (own >= DEEP_SCORE), found)
+    top = F.when(F.col("row_ix") == 0, F.struct(F.lit(-100.0).alias("score"), F.lit(0).cast(grid.schema["row_ix"].dataType).alias("neg_ix"), "cells"))
     frames = (
-        grid.select(*FRAME_KEY, F.size("cells").alias("n"), head.alias("head"))
+        grid.select(*FRAME_KEY, F.size("cells").alias("n"), head.alias("head"), deep.alias("deep"), top.alias("top"))
         .groupBy(*FRAME_KEY)
-        .agg(F.max("head").alias("head"), F.max("n").alias("width"), F.count("*").alias("n_rows"))
+        .agg(F.max("head").alias("head"), F.max("deep").alias("deep"), F.max("top").alias("top"), F.max("n").alias("width"),
+             F.count("*").alias("n_rows"))
+        .withColumn("head", F.coalesce("head", "deep", *(["top"] if kind == "web" else [])))
     )
-    if kind == "web":
-        frames = frames.where("n_rows > 1")
-    else:
-        frames = frames.where(F.col("head.score") > floor)
+    frames = frames.where("n_rows > 1") if kind == "web" else frames.where(F.col("head").isNotNull())
     padded = F.concat(
         F.col("head.cells"),
         F.array_repeat(F.lit(""), F.col("width") - F.size("head.cells")),
@@ -127,28 +136,30 @@ def frame_rows(grid: DataFrame, frames: DataFrame) -> DataFrame:
 def shape_frames(
     frames: DataFrame, kind: str = "web", overrides: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Row-local header detection and row shaping of whole frames.
+    """Row-local header detection (as :func:`detect_headers`) and row shaping of whole frames.
 
     Adds ``header_ix, headers, mapping, fields, rows, n_rows, score`` and drops the
     grid.  Frames without a header (files), without data rows or of a single row
     (web) are left out; file frames lose their all-empty columns.
     """
     web = kind == "web"
-    scan = vocab.WEB_HEADER_SCAN if web else vocab.FILE_HEADER_SCAN
-    score = web_header_score if web else file_header_score
-    floor = 0.0 if web else 0.5
-    ranked = F.transform(
-        F.slice("grid", 1, scan),
-        lambda cells, i: F.struct(
-            let(score(cells), lambda v: F.when(v > floor, v).otherwise(F.lit(-100.0))).alias("score"),
-            (-i).alias("neg_ix"),
-        ),
-    )
+    scan, score, floor = _header_rule(kind)
+
+    def candidates(rows: Column, offset: int, least: Callable[[Column], Column]) -> Column:
+        scored = F.transform(rows, lambda cells, i: F.struct(score(cells).alias("score"), (-i - offset).alias("neg_ix")))
+        return F.array_max(F.filter(scored, lambda r: least(r["score"])))
+
+    # The rest is only looked at when none of the first rows scores.
+    rest = F.transform(F.slice("grid", scan + 1, F.size("grid")), lambda cells: F.when(hinted_cells(cells) >= 2, cells))
+    deep = candidates(rest, scan, lambda v: v >= DEEP_SCORE)
+    head = F.coalesce(candidates(F.slice("grid", 1, scan), 0, lambda v: v > floor), F.when(F.size("grid") > scan, deep))
+    if web:
+        head = F.coalesce(head, F.struct(F.lit(-100.0).alias("score"), F.lit(0).alias("neg_ix")))
     out = stage(frames, {
         "width": F.array_max(F.transform("grid", lambda r: F.size(r))),
-        "head": F.array_max(ranked),
+        "head": head,
     })
-    out = out.where(F.size("grid") > 1) if web else out.where(F.col("head.score") > floor)
+    out = out.where(F.size("grid") > 1) if web else out.where(F.col("head").isNotNull())
     out = out.withColumn("header_ix", -F.col("head.neg_ix"))
 
     def padded(cells: Column, fill: Column) -> Column:

@@ -21,7 +21,7 @@ from docketlake.functions.staging import stage
 from docketlake.functions.text import _col, clean_zip, drop_bare_code, let
 from docketlake.operators.blocks import resolve_link
 from docketlake.operators.frames import row_map
-from docketlake.operators.headers import _stems, map_headers
+from docketlake.operators.headers import hinted_cells, map_headers
 
 
 def is_junk_employer(employer: Column | str) -> Column:
@@ -35,12 +35,10 @@ def is_repeated_header(cells: Column | str) -> Column:
 
     A cheap stem count rules out data rows before the mapper runs.
     """
-    stems = _stems(vocab.SYNONYMS, vocab.TOKEN_RULES)
-    squeezed = lambda v: F.regexp_replace(F.lower(v), "[^a-z0-9]+", "")
 
     def check(full: Column) -> Column:
         need = F.greatest(F.lit(3), F.size(full) - 1)
-        maybe = F.size(F.filter(full, lambda v: squeezed(v).rlike(stems))) >= need
+        maybe = hinted_cells(full) >= need
         return F.when((F.size(full) >= 3) & maybe, F.size(map_headers(full)) >= need).otherwise(F.lit(False))
 
     return let(F.filter(_col(cells), lambda v: F.coalesce(v, F.lit("")) != ""), check)

@@ -96,6 +96,12 @@ def _stems(
     return _shared_prefixes(short)
 
 
+def hinted_cells(cells: Column) -> Column:
+    """Number of cells that hold any vocabulary stem: a cheap bound on the number that would map."""
+    stems = _stems(vocab.SYNONYMS, vocab.TOKEN_RULES)
+    return F.size(F.filter(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "").rlike(stems)))
+
+
 def header_scores(
     header: Column | str,
     synonyms: Mapping[str, Sequence[str]] = vocab.SYNONYMS,

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from docketlake import vocab
 
-MAX_COLSPAN = 30
-MAX_ROWSPAN = 200
+MAX_COLSPAN = 1000  # fixed value: the widest span of the table model
+MAX_ROWSPAN = 65534  # fixed value: the longest one
 
 
 def _span(value: str | None, top: int) -> int:
@@ -95,23 +95,26 @@ def _tables(page: str) -> list[list[dict]]:
 def _rectangle(rows: list[dict]) -> Iterator[tuple[list[str], str | None]]:
     """Grid rows by the table model: a cell takes the next free columns, and those below it for its span.
 
-    ``taken`` maps (row, column) to the text that fills it.  A row ends at its first free
-    column; blank rows are skipped.
+    ``taken`` maps a row to its filled columns.  Free columns before the last filled one are
+    empty cells; blank rows are skipped.
     """
-    taken: dict[tuple[int, int], str] = {}
+    taken: dict[int, dict[int, str]] = {}
     for r, row in enumerate(rows):
+        here = taken.setdefault(r, {})
         column = 0
         for cell in row["cells"]:
             text = " ".join(html.unescape(" ".join(cell["text"])).split())
             if not text.isascii():
                 text = unicodedata.normalize("NFKC", text)
+            # A span ends with its table.
+            below = [taken.setdefault(i, {}) for i in range(r, min(r + cell["rows"], len(rows)))]
             for _ in range(cell["cols"]):
-                while (r, column) in taken:
+                while column in here:
                     column += 1
-                taken.update(((below, column), text) for below in range(r, r + cell["rows"]))
-        line = []
-        while (r, len(line)) in taken:
-            line.append(taken.pop((r, len(line))))
+                for line in below:
+                    line[column] = text
+        del taken[r]
+        line = [here.get(c, "") for c in range(max(here, default=-1) + 1)]
         if any(c.strip() for c in line):
             yield line, row["link"]
 
