@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketlake.llm import kernel
 from docketlake.llm.notices import KEY, TEXT
 from docketlake.llm.store import saved
 
@@ -92,6 +93,8 @@ def pretoken_table(notices: DataFrame, rules: tuple[str, list[str], bool], text:
                 yield out()
                 held.clear()
         yield out()
+        held.clear()
+        kernel.release()
 
     def pieces(batches):
         from tokenizers import Tokenizer
@@ -103,6 +106,8 @@ def pretoken_table(notices: DataFrame, rules: tuple[str, list[str], bool], text:
                 n = [len(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("times"), pa.array(n, pa.int32())],
                                                  ["word", "times", "n"])
+        del library
+        kernel.release()
 
     totals = notices.select(text).mapInArrow(tally, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
     return totals.mapInArrow(pieces, "word string, times long, n int")
@@ -167,6 +172,8 @@ def count_tokens(notices: DataFrame, rules_path: str, key: str = KEY, text: str
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c).take(at) for c in ("key", "code", "n_bytes")), pa.array(settled, pa.int64()),
                  pa.array(words, pa.string()), pa.array(times, pa.int32())], schema.names)
+        counts.clear()
+        kernel.release()
 
     own = notices.select(F.col(key).alias("key"), F.xxhash64(text).alias("code"),
                          F.coalesce(F.octet_length(text), F.lit(0)).alias("n_bytes"), F.col(text).alias("text"))

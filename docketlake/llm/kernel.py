@@ -7,6 +7,7 @@ White space is ASCII 0x20 and 0x09-0x0D, so byte positions never cut a character
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -23,6 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE_CODE = np.random.default_rng(20260601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _RADIX = 0x9E3779B97F4A7C17  # odd, one less is twice an odd number
+KEPT_POWERS = 1 << 22  # powers that stay between tasks; a longer text leaves none behind
 _powers = np.ones(1, _U)
 _inverse = np.ones(1, _U)
 
@@ -36,6 +38,21 @@ class Slice(NamedTuple):
     end: np.ndarray
 
 
+def release() -> None:
+    """Give memory that was freed back to the system.
+
+    Worker processes are reused; without this each keeps the peak of every task it ever ran, and
+    those of one executor add up.
+    """
+    global _powers, _inverse
+    if len(_powers) > KEPT_POWERS:
+        _powers, _inverse = _powers[:1].copy(), _inverse[:1].copy()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut batches into slices of at most ``limit`` text bytes (a longer text is a slice of its own)."""
     for batch in batches:
@@ -50,6 +67,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = column.slice(first, last - first)
             yield _slice(batch.slice(first, last - first), part)
             first = last
+    release()
 
 
 def _slice(batch: pa.RecordBatch, column: pa.Array) -> Slice:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketlake.llm import kernel
 from docketlake.llm.notices import KEY, TEXT, labelled_sample
 
 FIT_ROWS = 3_000        # labelled notices per label that the model is fitted on, at most
@@ -101,6 +102,8 @@ def fit_quality(notices: DataFrame, labels: DataFrame, key: str = KEY, text: str
     coders = _coders(*data)
     x = np.array([compressed_sizes(t, coders) for part in held for t in part])
     y = np.repeat([1.0, 0.0], [len(part) for part in held])
+    del found, good, bad, fit, held, coders
+    kernel.release()
     return QualityModel(*data, _logistic(x, y))
 
 
@@ -129,6 +132,7 @@ def score_quality(notices: DataFrame, model: QualityModel, text: str = TEXT, thr
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + [pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                 [f.name for f in kept] + ["score", "predicted"])
+        kernel.release()
 
     schema = T.StructType([*kept]).add("score", "double").add("predicted", "integer")
     return notices.select(*[f.name for f in kept]).mapInArrow(score, schema)
