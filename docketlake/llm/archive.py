@@ -14,6 +14,7 @@ from docketlake.llm.store import saved
 
 # Names and marks of the archive format.
 VERSION = b"WARC/1.1\r\n"
+MARK = b"WARC/1."  # what all versions that can be read begin with
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -155,8 +156,9 @@ def _parse(fragment: bytes) -> tuple[dict[str, str], bytes]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives below ``path``: ids, type, segment, declared lengths and block.
 
-    Files are read by Spark and cut at the version mark.  Where a block of a foreign archive
-    holds the mark itself, it is shorter than its declared length and is joined with what follows.
+    Files of versions 1.0 and 1.1 are read by Spark and cut at the version mark; anything else raises an error.
+    Where a block of a foreign archive holds the mark itself, it is shorter than its declared
+    length and is joined with what follows.
     """
 
     def read(batches):
@@ -164,11 +166,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for fragment in batch.column("value").to_pylist():
-                held = held + VERSION + fragment if held else fragment
+                held = held + MARK + fragment if held else fragment
                 if not held.strip():
                     held = b""
                     continue
-                head, rest = _parse(held)
+                if held[:3] not in (b"0\r\n", b"1\r\n"):
+                    raise ValueError("not an archive of version 1.0 or 1.1")
+                head, rest = _parse(held[3:])
                 size = int(head.get("content-length", "0"))
                 if len(rest) < size:
                     continue
@@ -183,7 +187,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if held.strip():
             raise ValueError("archive ends inside a record")
 
-    lines = spark.read.option("lineSep", VERSION.decode()).text(path)
+    lines = spark.read.option("lineSep", MARK.decode()).text(path)
     return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(read, _RECORD)
 
 

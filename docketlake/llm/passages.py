@@ -95,47 +95,6 @@ def reaches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.where(F.octet_length("text") >= length).select(*_ROW, "text").mapInArrow(find, schema)
 
 
-def refine_interleave(group: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of grouped texts by word, and their common prefixes; ``drop_repeats`` does not need it.
-
-    ``group`` numbers the blocks to begin with, ``symbols`` holds each row's text as big-endian
-    words, ``sizes`` its bytes.  A round looks at the next word of the rows whose block still has
-    several rows and splits those blocks; the order inside a block stays as it was.
-    Where a split appears, the common prefix of the neighbours is known.  The result's
-    ``lcp[i]`` is the common prefix of rows ``order[i-1]`` and ``order[i]``; -1 between groups.
-    """
-    order = np.argsort(group, kind="stable")
-    head = np.concatenate([[True], group[order][1:] != group[order][:-1]])
-    lcp = np.where(head, -1, np.minimum(sizes[order], np.concatenate([[0], sizes[order][:-1]]))).astype(np.int64)
-    for turn in range(symbols.shape[1]):
-        shared = ~head
-        shared[:-1] |= ~head[1:]
-        at = np.flatnonzero(shared)
-        if not len(at):
-            break
-        block, word = np.cumsum(head)[at], symbols[order[at], turn]
-        move = np.lexsort((word, block))
-        order[at] = order[at][move]
-        word = word[move]
-        split = np.flatnonzero((block[1:] == block[:-1]) & (word[1:] != word[:-1])) + 1
-        differ = (word[split] ^ word[split - 1]).astype(">u8").view(np.uint8).reshape(-1, 8)
-        lcp[at[split]] = 8 * turn + (differ != 0).argmax(axis=1)
-        head[at[split]] = True
-    inner = np.flatnonzero(lcp >= 0)
-    lcp[inner] = np.minimum(lcp[inner], np.minimum(sizes[order[inner]], sizes[order[inner - 1]]))
-    whole = np.flatnonzero(~head)
-    lcp[whole] = np.minimum(sizes[order[whole]], sizes[order[whole - 1]])
-    return order, lcp
-
-
-def _words(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts as rows of big-endian 8-byte words, zero-filled, with their sizes."""
-    columns = -(-width // 8)
-    raw = b"".join(t.ljust(8 * columns, b"\0") for t in texts)
-    return (np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(texts), columns),
-            np.array([len(t) for t in texts], np.int64))
-
-
 def _border_strings(rows: DataFrame, borders: DataFrame, length: int) -> DataFrame:
     """Every string of each border reach ``(gram, string, reach, copies, at)``, from the text it was first seen in.
 

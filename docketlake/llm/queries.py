@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +12,11 @@ from docketlake.llm import (
     archive, counts, dialogues, idiom, language, leaks, passages, pieces, quality, rules, similar, variants, whitening,
 )
 from docketlake.llm.notices import from_documents
+from docketlake.llm.store import batches_by_bytes
 from docketlake.session import work_dir
 
-TOKENIZERS = os.environ.get("DOCKETLAKE_TOKENIZERS", "/opt/tokenizers")
-BYTE_RULES = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_RULES = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches_by_bytes(spark)
     return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -108,7 +109,7 @@ def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = _notices(spark, sf_dir)
     model = quality.fit_quality(notices, _labels(spark, sf_dir), learn=_fold(5) != 0)
     return quality.score_quality(notices, model, threshold=0.3).select(
-        F.col("hash").alias("doc_id"), (_fold(5) == 0).alias("held_out"), "score", "predicted")
+        F.col("hash").alias("doc_id"), F.coalesce(_fold(5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 @query

@@ -206,8 +206,13 @@ def fit_rules(notices: DataFrame, labels: DataFrame, key: str = KEY, text: str =
 
 
 def apply_rules(stats: DataFrame, rules: DecisionList, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """Adds ``base_failed`` and ``kept``: the two fixed rules first, then the learned list in order."""
+    """Adds ``base_failed`` and ``kept``: the two fixed rules first, then the learned list in order.
+
+    Columns of those two names are replaced; all others stay as they are.
+    """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return with_shares(stats).withColumn("base_failed", failed) \
+    own = {c: f"_own_{c}" for c in stats.columns if c in {f"{name}_share" for name in SHARES}}
+    judged = with_shares(stats.withColumnsRenamed(own)).withColumn("base_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & ~rules.rejects()) \
         .drop(*[f"{name}_share" for name in SHARES])
+    return judged.withColumnsRenamed({v: k for k, v in own.items()})

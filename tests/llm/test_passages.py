@@ -2,11 +2,10 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from docketlake.llm import passages
-from docketlake.llm.passages import drop_repeats, refine_interleave
+from docketlake.llm.passages import drop_repeats
 
 
 def brute(texts, length):
@@ -76,20 +75,6 @@ def test_null_and_repeated_keys_no_rows_and_carried_columns(notices, empty):
     assert drop_repeats(empty, length=60).count() == 0
 
 
-def test_refined_interleave_is_the_sorted_order():
-    r = random.Random(2)
-    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 20))) for _ in range(200)]
-    group = np.array([r.randrange(3) for _ in texts])
-    words, sizes = passages._words(texts, 24)
-    order, lcp = refine_interleave(group, words, sizes)
-    padded = [(group[i], texts[i].ljust(24, b"\0")) for i in order]
-    assert padded == sorted(padded)
-    for i in range(1, len(order)):
-        a, b = texts[order[i - 1]], texts[order[i]]
-        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert lcp[i] == (same if group[order[i]] == group[order[i - 1]] else -1)
-
-
 def test_borders_of_one_shared_passage_are_spread(spark, notices):
     r = random.Random(9)
     word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))

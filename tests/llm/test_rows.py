@@ -190,3 +190,39 @@ def test_dialogue_seen_by_every_participant(spark):
     assert [seen.rendered[m.begin:m.end] for m in seen.masks] == ["hé\n"]
     assert [out[1, 0, "ann"].rendered[m.begin:m.end] for m in out[1, 0, "ann"].masks] == ["hi\n", "\n", "\n"]
     assert dialogues.rotate_perspectives(turns.limit(0)).count() == 0
+
+
+def test_archives_of_both_versions_and_of_none(spark, tmp_path):
+    def record(version, k, block):
+        head = f"WARC/{version}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    blocks = [b"first", b"holds WARC/1.0\r\n and WARC/1.1\r\n inside", b""]
+    for version in ("1.0", "1.1", "0.18"):
+        (tmp_path / version).mkdir()
+        (tmp_path / version / "a.warc").write_bytes(b"".join(record(version, k, b) for k, b in enumerate(blocks)))
+    for version in ("1.0", "1.1"):
+        got = archive.read_records(spark, str(tmp_path / version)).collect()
+        assert [bytes(r[-1]) for r in sorted(got, key=lambda r: r[0])] == blocks
+    with pytest.raises(Exception, match="not an archive"):
+        archive.read_records(spark, str(tmp_path / "0.18")).collect()
+
+
+def test_rules_leave_columns_of_the_caller_alone(spark, notices):
+    stats = rules.text_statistics(notices([(1, "the plant closes " * 40), (2, "x")]))
+    learned = rules.fit_rules(notices([]), spark.createDataFrame([], "hash long, quality int"))
+    mine = stats.withColumn("n_symbols_share", F.lit("mine")).withColumn("kept", F.lit("old"))
+    out = rules.apply_rules(mine, learned)
+    assert {c for c in out.columns} == {*mine.columns, "base_failed"}
+    assert [r.n_symbols_share for r in out.collect()] == ["mine", "mine"]
+
+
+def test_quality_of_documents_without_an_id(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = documents.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    documents.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = QUERIES["op9_quality_score"](spark, str(tmp_path))
+    assert [r.held_out for r in out.where("doc_id IS NULL").collect()] == [True]
+    assert out.where("held_out IS NULL OR score IS NULL").count() == 0
