@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docketlake.llm import passages
