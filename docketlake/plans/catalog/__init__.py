@@ -6,6 +6,6 @@ Every query comes with the SQL that states its expected result, where SQL can.
 from __future__ import annotations
 
 from docketlake.plans.catalog.base import ORACLES, QUERIES
-from docketlake.plans.catalog import alerts, cleaning, extraction, framing, history, streams  # noqa: F401
+from docketlake.plans.catalog import alerts, cleaning, extraction, framing, history, landing, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
