@@ -24,7 +24,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE_CODE = np.random.default_rng(20260601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _RADIX = 0x9E3779B97F4A7C17  # odd, one less is twice an odd number
-KEPT_POWERS = 1 << 22  # powers that stay between tasks; a longer text leaves none behind
+HASH_BYTES = 1 << 18   # stretch of text that is hashed at once
+KEPT_POWERS = 1 << 20  # powers that stay between tasks; a longer text leaves none behind
 _powers = np.ones(1, _U)
 _inverse = np.ones(1, _U)
 
@@ -151,6 +152,22 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U) * _U(0x9FB21C651E98DF25))
 
 
+def ordered_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, stretch: int = HASH_BYTES) -> np.ndarray:
+    """``span_hash`` of spans that follow each other without overlap, a stretch of the buffer at a time.
+
+    The numbers are the same; running sums and powers cover ``stretch`` bytes or one longer span.
+    """
+    out = np.empty(len(begin), _U)
+    first = 0
+    while first < len(begin):
+        base = int(begin[first])
+        last = max(first + 1, int(np.searchsorted(end, base + stretch, side="right")))
+        sums = prefix_sums(buf[base: int(end[last - 1])])
+        out[first:last] = span_hash(sums, begin[first:last] - base, end[first:last] - base)
+        first = last
+    return out
+
+
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` neighbours (as many as fit)."""
     count = max(0, len(hashes) - n + 1)

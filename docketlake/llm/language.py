@@ -77,7 +77,7 @@ def _tokens(learn: list[bool], sizes: list[int], body: bytes) -> tuple[np.ndarra
     word = np.full(bounds[-1], _EDGE, np.uint64)
     inner = np.ones(len(word), bool)
     inner[bounds[1:] - 1] = False
-    word[inner] = kernel.span_hash(kernel.prefix_sums(raw), begin, stop)
+    word[inner] = kernel.ordered_hashes(raw, begin, stop)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[bounds[:-1]] = _EDGE

@@ -31,7 +31,7 @@ _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 def _words(s: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of a lower-cased slice: runs without ASCII punctuation or space."""
     begin, end = kernel.runs(~_SEPARATOR[s.buf], s.start, s.end)
-    return kernel.span_hash(kernel.prefix_sums(s.buf), begin, end), begin
+    return kernel.ordered_hashes(s.buf, begin, end), begin
 
 
 def _lowered(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:

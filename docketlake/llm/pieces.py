@@ -367,7 +367,7 @@ class Encoder:
         cut[first] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(s.buf))
-        code = kernel.span_hash(kernel.prefix_sums(s.buf), begin, end)
+        code = kernel.ordered_hashes(s.buf, begin, end)
         leads = np.zeros(len(begin), bool)
         leads[np.searchsorted(begin, first)] = True
         code[leads] ^= np.uint64(0x94D049BB133111EB)
@@ -476,5 +476,6 @@ def decode_notices(encoded: DataFrame, model_path: str, ids: str = "piece_ids",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(f.name) for f in kept] + [pa.array([r.decode("utf-8", "replace") for r in rows], pa.string())],
                     [f.name for f in kept] + [text])
+        kernel.release()
 
     return encoded.mapInArrow(decode, T.StructType([*kept]).add(text, "string"))

@@ -30,7 +30,7 @@ _DIGEST = ["n_shingles", "set_a", "set_b"]
 def _row_shingles(s: kernel.Slice, n: int) -> Iterator[np.ndarray]:
     buf = kernel.fold(s.buf)
     begin, end = kernel.words(s)
-    hashes = kernel.span_hash(kernel.prefix_sums(buf), begin, end)
+    hashes = kernel.ordered_hashes(buf, begin, end)
     for a, b in zip(*kernel.row_bounds(s, begin), strict=True):
         yield kernel.shingles(hashes[a:b], n)
 
@@ -50,7 +50,8 @@ def frequency_sketch(notices: DataFrame, text: str = TEXT, n: int = 3, bits: int
             seen = True
             found = [kernel.mix(x) >> np.uint64(64 - bits) for x in _row_shingles(s, n) if len(x)]
             if found:
-                table += np.bincount(np.concatenate(found).view(np.int64), minlength=size).astype(np.uint32)
+                place, often = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
+                table[place] += often.astype(np.uint32)
         if seen:
             pack = zstandard.ZstdCompressor(level=1)
             yield pa.record_batch([pa.array(range(parts), pa.int32()),

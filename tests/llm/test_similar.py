@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from docketlake.llm import kernel
 from docketlake.llm.components import components
 from docketlake.llm.similar import adaptive_prefix, prefix_length, similar_notices
 
@@ -87,3 +88,13 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_hashes_by_stretches_equal_hashes_of_the_whole():
+    r = random.Random(3)
+    s = kernel.from_texts([" ".join("x" * r.randint(1, 90) for _ in range(r.randint(0, 40))) for _ in range(30)] + ["", None])
+    begin, end = kernel.words(s)
+    whole = kernel.span_hash(kernel.prefix_sums(s.buf), begin, end)
+    for stretch in (1, 7, 100, 1 << 18):
+        assert (kernel.ordered_hashes(s.buf, begin, end, stretch) == whole).all()
+    assert len(kernel.ordered_hashes(s.buf, begin[:0], end[:0])) == 0
