@@ -96,7 +96,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every remaining document, with proof that they decode to its text."""
-    ids = pieces.decode_notices(pieces.encode_notices(_notices(docs), PIECE_MODEL), PIECE_MODEL)
+    # Written between, so that a task holds one Python worker, not an encoding and a decoding one.
+    ids = pieces.decode_notices(saved(pieces.encode_notices(_notices(docs), PIECE_MODEL), "ids"), PIECE_MODEL)
     return ids.select(F.col("hash").alias("doc_id"), "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids",
                       (F.col("decoded") == F.coalesce("notes", F.lit(""))).alias("round_trip"))
 
