@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlake import vocab
 from docketlake.functions.places import state_code, state_name
-from docketlake.operators import merge, rollup, search
+from docketlake.operators import merge, rollup, runs, search
 from docketlake.operators.funnel import coverage
 from docketlake.plans.catalog.base import CODES, filings, query, table, text_of, with_filings
 from docketlake.plans.ingest import period_urls
@@ -376,6 +376,48 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _logged_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Two runs in a log, the first of them replayed; the second tries the sources with an open account only."""
+    path = work_dir(spark, "runs")
+    state = F.rtrim(F.substring_index("employer", " ", 1), F.lit(",")).alias("state")
+
+    def work(new: str, updated: str, which: str):
+        change = F.when(F.col("status") == new, "new").when(F.col("status") == updated, "updated")
+        stats = merge.upsert_stats(filings(spark, sf_dir).select(state, change.alias("change")), ["state"])
+        results = _status(spark, sf_dir).where(which)
+        return results, stats.join(results.select("state"), "state", "left_semi")
+
+    runs.logged_run(spark, path, "first", lambda: work("O", "F", "true"))
+    runs.logged_run(spark, path, "second", lambda: work("F", "P", "status != 'unavailable'"))
+    runs.logged_run(spark, path, "first", lambda: work("O", "F", "true"))
+    return path
+
+
+_RUN_SQL = _STATUS_SQL.rstrip() + """, changes AS (
+  SELECT rtrim(split_part(employer, ' ', 1), ',') AS state, count(*) FILTER (status = 'O') AS o,
+    count(*) FILTER (status = 'F') AS f, count(*) FILTER (status = 'P') AS p FROM filings GROUP BY 1),
+results AS (
+  SELECT 'first' AS run_id, s.*, coalesce(o, 0) AS rows_new, coalesce(f, 0) AS rows_updated FROM status s LEFT JOIN changes USING (state)
+  UNION ALL SELECT 'second', s.*, coalesce(f, 0), coalesce(p, 0) FROM status s LEFT JOIN changes USING (state) WHERE status <> 'unavailable')
+"""
+
+
+@query("run_log", _RUN_SQL + """
+SELECT run_id, count(*) AS states_attempted, cast(sum(ok) AS BIGINT) AS states_ok, count(*) FILTER (ok = 0) AS states_failed,
+  cast(sum(rows_parsed) AS BIGINT) AS rows_parsed, cast(sum(rows_new) AS BIGINT) AS rows_new, cast(sum(rows_updated) AS BIGINT) AS rows_updated,
+  1 AS in_order FROM results GROUP BY run_id""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs(spark, _logged_runs(spark, sf_dir)).select(
+        "run_id", "states_attempted", "states_ok", "states_failed", "rows_parsed", "rows_new", "rows_updated",
+        (F.col("started_at") < F.col("finished_at")).cast("int").alias("in_order"))
+
+
+@query("run_results", _RUN_SQL + "SELECT run_id, state, source_name, url, ok, rows_parsed, rows_new, rows_updated, error FROM results")
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_results(spark, _logged_runs(spark, sf_dir)).select(
+        "run_id", "state", "source_name", "url", F.col("ok").cast("int").alias("ok"), "rows_parsed", "rows_new", "rows_updated", "error")
+
+
 @query("source_listing", """SELECT c_name AS state, c_mktsegment AS strategy, n_name AS source_name,
   'https://c.example.org/' || c_custkey AS url FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

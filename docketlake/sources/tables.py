@@ -118,12 +118,21 @@ def append(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_appended(spark: SparkSession, path: str, schema, below: int | None = None) -> DataFrame:
-    """All appended batches, or only those below a batch number."""
+def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Is a batch appended as a whole?"""
+    fs, marker = _fs(spark, f"{path}/batch_id={batch_id}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def read_appended(spark: SparkSession, path: str, schema, below: int | None = None, numbered: bool = False,
+                  number: T.StructField = T.StructField("batch_id", T.LongType())) -> DataFrame:
+    """All appended batches, or only those below a batch number; ``numbered`` keeps the folder's ``number``."""
     fs, root = _fs(spark, path)
+    full = T.StructType([*schema.fields, number])
     if not fs.exists(root) or not len(fs.listStatus(root)):
-        return spark.createDataFrame([], schema)
-    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+        df = spark.createDataFrame([], full)
+    else:
+        df = spark.read.schema(full).parquet(path)
     if below is not None:
-        df = df.where(F.col("batch_id") < below)
-    return df.drop("batch_id")
+        df = df.where(F.col(number.name) < below)
+    return df if numbered else df.drop(number.name)

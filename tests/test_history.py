@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketlake import vocab
-from docketlake.operators import merge, rollup, search
+from docketlake.operators import merge, rollup, runs, search
 from docketlake.operators.funnel import conform
 from docketlake.sources.tables import read_snapshot, write_snapshot
 from docketlake.streaming.feed import merge_batch
@@ -163,3 +163,33 @@ def test_exports(spark, tmp_path):
     assert text.splitlines()[:2] == ["state,notice_date", "MD,2024-01-02"]
     search.write_export(out.coalesce(1), str(tmp_path / "j"), "json")
     assert '"notice_date":null' in next((tmp_path / "j").glob("*.json")).read_text()
+
+
+def test_runs_are_logged_once_however_often_they_are_replayed(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    report = spark.createDataFrame(
+        [("MD", "u1", 3, None), ("MD", "u1", 0, "not followed"), ("VA", "u2", 0, "no table"), ("VA", "u2", 2, None), ("ZZ", None, 0, "error status")],
+        "state string, url string, n_records long, reason string")
+    stats = spark.createDataFrame([("MD", 2, 1)], "state string, rows_new long, rows_updated long")
+    for run in ("a", "b", "a"):
+        runs.logged_run(spark, path, run, lambda: (runs.source_results(report), stats))
+    log = {r.run_id: r for r in runs.runs(spark, path).collect()}
+    assert set(log) == {"a", "b"}
+    assert tuple(log["a"])[2:8] == (3, 1, 2, 5, 2, 1) and log["a"].started_at < log["a"].finished_at and log["a"].notes is None
+    rows = {(r.run_id, r.state): (r.url, r.ok, r.rows_parsed, r.rows_new, r.error) for r in runs.run_results(spark, path).collect()}
+    assert len(rows) == 6 and rows["b", "MD"] == ("u1", True, 3, 2, None)
+    assert rows["a", "VA"] == ("u2", False, 2, 0, "no table") and rows["a", "ZZ"] == (None, False, 0, 0, "error status")
+
+
+def test_a_run_that_fails_is_logged_with_its_error(spark, tmp_path):
+    path = str(tmp_path / "runs")
+
+    def broken():
+        raise OSError("disk gone")
+
+    with pytest.raises(OSError):
+        runs.logged_run(spark, path, "x", broken)
+    row = runs.runs(spark, path).first()
+    assert row.notes == "OSError: disk gone" and row.states_attempted == 0 and runs.run_results(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        runs.logged_run(spark, path, "../x", broken)

@@ -3,11 +3,13 @@ import random
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from docketlake import vocab
 from docketlake.operators import matching
 from docketlake.plans.notify import alert_cycle
 from docketlake.streaming.alerts import alert_batch, sent_ledger
+from docketlake.streaming.delivery import deliver_batch, delivery_log
 
 NOTICE = "hash string, state string, employer string, industry string, notice_type string, employees int, city string, notice_date date, source_url string, first_seen_at timestamp"
 SUB = "id long, states array<string>, keywords array<string>, min_employees int, is_active boolean, email string, unsubscribe_token string"
@@ -116,3 +118,39 @@ def test_alert_batches_do_not_repeat(spark, tmp_path, twice):
     if twice:
         alert_batch(notice(spark, {"hash": "a"}, {"hash": "b"}), 1, *args)
     assert sorted(r.hash for r in sent_ledger(spark, out).collect()) == ["a", "b"]
+
+
+def test_failed_messages_are_sent_again_until_a_receipt(spark, tmp_path):
+    out, people = str(tmp_path / "outbox"), subs(spark, {}, {"id": 2, "email": "c@d"}, {"id": 3, "is_active": False})
+    sent = []
+
+    def send(fails):
+        def run(messages):
+            sent.append(sorted((r.subscription_id, r.n) for r in messages.collect()))
+            fine = ~F.col("subscription_id").isin(fails) if fails else F.lit(True)
+            return messages.select("subscription_id", fine.alias("ok"), F.when(~fine, "busy").alias("error"))
+        return run
+
+    def step(number, fails, *rows, now="2024-06-02 00:00:00"):
+        deliver_batch(notice(spark, *rows), number, people, out, now, send(fails))
+
+    step(0, [2], {"hash": "a"})
+    step(0, [2], {"hash": "a"})           # a replay of a finished batch sends nothing
+    assert sent == [[(1, 1), (2, 1)]]
+    step(1, [2], {"hash": "a"}, {"hash": "b"}, {"hash": "b"})
+    step(2, [], {"hash": "b"})
+    step(3, [], {"hash": "b"})
+    assert sent[1:] == [[(1, 1), (2, 2)], [(2, 2)], []]
+    log = {(r.subscription_id, r.hash): (r.attempts, r.sent_at is not None, r.error) for r in delivery_log(spark, out).collect()}
+    assert log == {(1, "a"): (1, True, None), (1, "b"): (1, True, None), (2, "a"): (3, True, None), (2, "b"): (2, True, None)}
+
+
+def test_a_message_without_receipt_counts_as_not_sent(spark, tmp_path):
+    out, people = str(tmp_path / "outbox"), subs(spark, {})
+    schema = "subscription_id long, ok boolean, error string"
+    deliver_batch(notice(spark, {"hash": "a"}), 0, people, out, "2024-06-02 00:00:00", lambda m: spark.createDataFrame([], schema))
+    assert [tuple(r) for r in delivery_log(spark, out).collect()] == [(1, "a", 1, None, None)]
+    # Beyond the lookback it is given up.
+    deliver_batch(notice(spark, {"hash": "z", "first_seen_at": datetime(2024, 7, 1)}), 1, people, out, "2024-07-01 00:00:00",
+                  lambda m: m.select("subscription_id", F.lit(True).alias("ok"), F.lit("").alias("error")))
+    assert {r.hash: r.attempts for r in delivery_log(spark, out).collect()} == {"a": 1, "z": 1}
