@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketlake import vocab
-from docketlake.operators.merge import deactivate_missing, dedupe_batch, upsert, with_identity
-from docketlake.sources.tables import part_of, read_snapshot, stored, version_for, write_snapshot
+from docketlake.operators.merge import deactivate_missing, dedupe_batch, existing_rows, upsert, with_identity
+from docketlake.sources.tables import (
+    commit_snapshot, folding, manifest, newest, part_of, read_runs, stored, vacuum, write_snapshot,
+)
 
 
 def first_seen(stream: DataFrame, key: Sequence[str] = ("hash",)) -> DataFrame:
@@ -37,26 +39,37 @@ def merge_batch(
 ) -> None:
     """Upsert one micro-batch and commit it as the table's next version.
 
-    Only the buckets of the states in the batch are read and rewritten; their numbers are
-    all that reaches the driver.  The version comes from the table's own log, and
-    (``stream``, ``batch_id``) is its replay key: a replay after a lost driver reads the same
-    base and rewrites the same version, while another stream or a new checkpoint adds a new one.
-    The batch is evaluated once.  With ``full_snapshot`` the batch is a whole listing of its
-    states: what is missing is retired, what returns becomes active again.
+    What is written follows the batch: its own rows, those it retires, and the newest runs that are
+    small beside it (``folding``).  Of the buckets of its states only rows with a hash of the batch go
+    into the merge; row counts by bucket are all that reaches the driver.  A batch that is lost before
+    its manifest is written leaves the table as it was, and one that is replayed finds its rows there
+    already: it inserts nothing and changes no first sighting.  The batch is evaluated once.  With
+    ``full_snapshot`` the batch is a whole listing of its states: what is missing is retired, what
+    returns becomes active again.  ``stream`` and ``batch_id`` name the folder.
     """
     spark = batch.sparkSession
-    replay = f"{stream}-{batch_id}"
-    version = version_for(spark, path, replay)
+    base, runs = manifest(spark, path)
     incoming = stored(dedupe_batch(with_identity(batch), order), "batch")
-    touched = {r[0] for r in incoming.select(part_of("state")).distinct().collect()}
+    rows = {r[0]: r[1] for r in incoming.groupBy(part_of("state")).count().collect()}  # at most PARTS rows
+    if not rows:
+        return
     columns = vocab.NOTICE_SCHEMA.names
-    target = read_snapshot(spark, path, version, vocab.NOTICE_SCHEMA, touched)
-    if target is None:
-        target = spark.createDataFrame([], vocab.NOTICE_SCHEMA)
-    merged = upsert(target.select(columns), incoming, now).drop("change")
+    touched = {part: runs[part] for part in rows if part in runs}
+    target = spark.createDataFrame([], vocab.NOTICE_SCHEMA)
+    if touched:
+        lying = read_runs(spark, path, touched, vocab.NOTICE_SCHEMA)
+        target = newest(lying if full_snapshot else existing_rows(lying, incoming))
+    merged = upsert(target.select(columns), incoming, now)
     if full_snapshot:
-        merged = deactivate_missing(merged, incoming, incoming).drop("retired")
-    write_snapshot(merged.select(columns), path, version, replay)
+        merged = deactivate_missing(merged, incoming, incoming).where("change != 'kept' OR retired")
+    delta = merged.select(columns)
+    folded = folding(runs, rows)
+    if folded:
+        older = read_runs(spark, path, folded, vocab.NOTICE_SCHEMA)
+        delta = newest(older.unionByName(delta.withColumn("_version", F.lit(base + 1).cast("long"))))
+    folder = write_snapshot(delta, path, base + 1, f"{stream}-{batch_id}")
+    commit_snapshot(spark, path, base + 1, folder, folded, runs)
+    vacuum(spark, path)
 
 
 def ingest(
@@ -69,7 +82,7 @@ def ingest(
 ) -> StreamingQuery:
     """Run all available input of a record stream into the history table.
 
-    The checkpoint's path names the stream, so batches of another checkpoint are new batches.
+    The checkpoint's path names the stream in the folders of its versions.
     """
     name = f"{zlib.crc32(checkpoint.encode()):08x}"
 
