@@ -23,9 +23,8 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-PARTS = 64   # buckets of a stored table by state
-SHARES = 16  # shares of a bucket by row hash, so that a hot state has many writers
-KEPT = 4     # versions whose files stay for readers that are still at work
+PARTS = 64  # buckets of a stored table by state
+KEPT = 4    # versions whose files stay for readers that are still at work
 
 Runs = dict[int, list[tuple[str, int]]]  # bucket -> its runs, oldest first, as (folder, rows)
 
@@ -102,15 +101,14 @@ def read_snapshot(
 
 
 def write_snapshot(df: DataFrame, path: str, version: int, key: str = "", partition: str = "state",
-                   sort: str = "notice_date", share: str = "hash") -> str:
+                   sort: str = "notice_date") -> str:
     """Write rows as the runs of a version, which is in force once it is committed; returns the folder.
 
     The folder has a name of its own, so a job that is lost or repeated touches no file in force.
-    Tasks write shares of buckets: few files where the rows are few, many writers for a hot one.
+    A bucket is one file while it is small; adaptive execution splits a hot one by its size among many writers.
     """
     folder = f"{path}/version={version:010d}.{key}.{uuid.uuid4().hex[:8]}"
-    rows = df.withColumns({"_part": part_of(partition), "_share": F.pmod(F.xxhash64(share), F.lit(SHARES))})
-    rows.hint("rebalance", F.col("_part"), F.col("_share")).drop("_share").sortWithinPartitions("_part", partition, sort) \
+    df.withColumn("_part", part_of(partition)).hint("rebalance", F.col("_part")).sortWithinPartitions("_part", partition, sort) \
         .write.partitionBy("_part").parquet(folder)
     return folder
 
